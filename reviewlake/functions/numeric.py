@@ -22,6 +22,11 @@ def mean(c: Column, digits: int) -> Column:
     return rnd(F.avg(c), digits)
 
 
+def money_mean(c: Column, digits: int = 2, cents: int = 2) -> Column:
+    """Mean of amounts with ``cents`` decimals. Sums are settled first, so the order of addition cannot tip a tie."""
+    return rnd(F.try_divide(rnd(F.sum(c), cents), F.count(c)), digits)
+
+
 def count_if(cond: Column) -> Column:
     return F.count_if(cond)
 

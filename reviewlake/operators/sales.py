@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from reviewlake.functions.dates import year_month_label
-from reviewlake.functions.numeric import count_if, mean, pearson, rnd
+from reviewlake.functions.numeric import count_if, mean, money_mean, pearson, rnd
 from reviewlake.operators.quantiles import exact_quantiles
 from reviewlake.operators.silver import with_review_month
 from reviewlake.schemas import require
@@ -19,7 +19,7 @@ def sales_by_month(orders: DataFrame) -> DataFrame:
     return orders.groupBy("year", "month").agg(
         F.count("*").alias("order_count"),
         rnd(F.sum("order_total"), 2).alias("total_revenue"),
-        mean(F.col("order_total"), 2).alias("avg_order_value"),
+        money_mean(F.col("order_total")).alias("avg_order_value"),
         F.sum("item_count").alias("total_items"),
     ).orderBy("year", "month")
 
@@ -30,7 +30,7 @@ def sales_summary(orders: DataFrame) -> DataFrame:
     return orders.agg(
         rnd(revenue, 2).alias("total_revenue"),
         n.alias("total_orders"),
-        F.coalesce(rnd(F.try_divide(revenue, n), 2), F.lit(0.0)).alias("avg_order_value"),
+        F.coalesce(rnd(F.try_divide(rnd(revenue, 2), n), 2), F.lit(0.0)).alias("avg_order_value"),
     )
 
 
@@ -45,7 +45,7 @@ def orders_by_month(orders: DataFrame) -> DataFrame:
 def revenue_by_month(order_items: DataFrame) -> DataFrame:
     """Item revenue and mean item price per purchase month."""
     return order_items.groupBy(F.col("purchase_year").alias("year"), F.col("purchase_month").alias("month")).agg(
-        rnd(F.sum("price"), 2).alias("total_revenue"), mean(F.col("price"), 2).alias("avg_price"),
+        rnd(F.sum("price"), 2).alias("total_revenue"), money_mean(F.col("price")).alias("avg_price"),
     ).orderBy("year", "month")
 
 
@@ -60,14 +60,14 @@ def sales_by_category(order_items: DataFrame, top_n: int = 20) -> DataFrame:
     return per_order.groupBy("category_en").agg(
         F.count("*").alias("order_count"),
         rnd(F.sum("order_total"), 2).alias("total_revenue"),
-        mean(F.col("order_total"), 2).alias("avg_order_value"),
+        money_mean(F.col("order_total")).alias("avg_order_value"),
     ).orderBy(F.desc("total_revenue"), "category_en").limit(top_n)
 
 
 def product_sales(items: DataFrame) -> DataFrame:
     """Sales per product: the pre-aggregate every category report starts from."""
     return items.groupBy("product_id").agg(
-        F.count("*").alias("times_sold"), F.avg("price").alias("avg_price"), F.sum("price").alias("total_revenue"),
+        F.count("*").alias("times_sold"), money_mean(F.col("price")).alias("avg_price"), F.sum("price").alias("total_revenue"),
     )
 
 
@@ -159,7 +159,7 @@ def score_metrics(orders: DataFrame, order_reviews: DataFrame) -> DataFrame:
     """Order value per review score."""
     return _scored_orders(orders, order_reviews).groupBy("review_score").agg(
         F.count("*").alias("order_count"),
-        mean(F.col("order_total"), 2).alias("avg_order_value"),
+        money_mean(F.col("order_total")).alias("avg_order_value"),
         rnd(F.sum("order_total"), 2).alias("total_revenue"),
         count_if(F.col("has_comment")).alias("with_comment"),
     ).orderBy("review_score")
@@ -183,11 +183,10 @@ def price_by_score(orders: DataFrame, order_reviews: DataFrame) -> DataFrame:
     ).where(F.col("order_price").isNotNull())
     out = exact_quantiles(
         priced, "order_price", {"median_price": (0.5, "linear")}, by=["review_score"],
-        moments={"avg_price": F.avg, "count": F.count},
+        moments={"avg_price": money_mean, "count": F.count},
     )
     return out.select(
-        "review_score", rnd(F.col("avg_price"), 2).alias("avg_price"), rnd(F.col("median_price"), 3).alias("median_price"),
-        "count",
+        "review_score", "avg_price", rnd(F.col("median_price"), 3).alias("median_price"), "count",
     ).orderBy("review_score")
 
 
@@ -199,14 +198,14 @@ def price_stats(items: DataFrame) -> DataFrame:
     """Price statistics over all items, with revenue including freight."""
     prices = exact_quantiles(
         items, "price", {"median_price": (0.5, "linear")},
-        moments={"avg_price": F.avg, "min_price": F.min, "max_price": F.max, "_revenue": F.sum},
+        moments={"avg_price": money_mean, "min_price": F.min, "max_price": F.max, "_revenue": F.sum},
     )
-    freight = items.agg(F.struct(F.avg("freight_value").alias("mean"), F.sum("freight_value").alias("total"))).scalar()
+    freight = items.agg(F.struct(money_mean(F.col("freight_value"), cents=4).alias("mean"), F.sum("freight_value").alias("total"))).scalar()
     return prices.withColumn("_f", freight).select(
-        rnd(F.col("avg_price"), 2).alias("avg_price"), "min_price", "max_price",
+        "avg_price", "min_price", "max_price",
         rnd(F.col("median_price"), 3).alias("median_price"),
         rnd(F.col("_revenue"), 2).alias("total_revenue"),
-        rnd(F.col("_f.mean"), 2).alias("avg_freight"),
+        F.col("_f.mean").alias("avg_freight"),
         rnd(F.col("_revenue") + F.col("_f.total"), 1).alias("revenue_with_freight"),
     )
 
@@ -229,7 +228,7 @@ def sales_features(
     monthly = require(orders, *keys).groupBy(*keys).agg(
         F.count("*").alias("order_count"),
         rnd(F.sum("order_total"), 2).alias("total_revenue"),
-        mean(F.col("order_total"), 2).alias("avg_order_value"),
+        money_mean(F.col("order_total")).alias("avg_order_value"),
         F.sum("item_count").alias("total_items"),
     )
     if order_reviews is not None:

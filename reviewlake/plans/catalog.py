@@ -253,7 +253,7 @@ def rating_by_category_min100(t):
 @query
 def product_features(t):
     features = sales.product_features(t.order_reviews, t.raw_orders, t.raw_order_items, t.raw_products)
-    return weekly.rounded(features, {"avg_price": 2, "total_revenue": 2, "avg_review_score": 4})
+    return weekly.rounded(features, {"total_revenue": 2, "avg_review_score": 4})
 
 
 @query
