@@ -1,7 +1,6 @@
 """Text cleaning, counting and tokenizing as native column expressions.
 
-Whitespace means Unicode whitespace, as in a Python string, so the class is spelled out instead of relying on
-what ``\\s`` means to one regex engine.
+Whitespace means what a Python string takes for whitespace: Unicode white space and the four separators U+001C-U+001F.
 """
 
 from __future__ import annotations
@@ -10,17 +9,18 @@ from pyspark.sql import Column, functions as F
 
 from reviewlake.functions.vocabulary import CONTRACTIONS
 
-# The characters a Python string treats as whitespace, as text and as a regex class.
+# The characters a Python string treats as whitespace.
 WS_CHARS = (
     "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WS = r"\t\n\x0B\f\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same set as a class body for patterns with the (?U) flag. Single characters, not ranges: they share one bit set.
+WS = r"\s\x1c\x1d\x1e\x1f"
 
-URL = rf"http[^{WS}]+|www[^{WS}]+"
+URL = rf"(?U)http[^{WS}]+|www[^{WS}]+"
 # A whole token with an "@" inside. The possessive form accepts exactly what "\S+@\S+" accepts but never
 # backtracks, so one long unbroken token costs linear time.
-EMAIL = rf"(?<![^{WS}])[^{WS}][^{WS}@]*+@[^{WS}]++"
+EMAIL = rf"(?U)(?<![^{WS}])[^{WS}][^{WS}@]*+@[^{WS}]++"
 MENTION = r"@[\p{L}\p{N}_]+"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 # Letters each language cleaner keeps.
@@ -34,7 +34,7 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]+", " ")
+    return F.regexp_replace(c, rf"(?U)[{WS}]+", " ")
 
 
 def text_length(c: Column) -> Column:
@@ -50,7 +50,7 @@ def space_word_count(c: Column) -> Column:
 def word_count(c: Column) -> Column:
     """Whitespace-separated words; 0 for null or blank text."""
     stripped = strip(c)
-    return F.when(F.coalesce(stripped, F.lit("")) == "", 0).otherwise(F.size(F.split(stripped, f"[{WS}]+")))
+    return F.when(F.coalesce(stripped, F.lit("")) == "", 0).otherwise(F.size(F.split(stripped, rf"(?U)[{WS}]+")))
 
 
 def clean_text(c: Column) -> Column:
@@ -58,35 +58,34 @@ def clean_text(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(collapse(strip(c)), CONTROL, ""), F.lit(""))
 
 
-def _drop_urls(c: Column) -> Column:
-    return F.when(c.contains("http") | c.contains("www"), F.regexp_replace(c, URL, "")).otherwise(c)
-
-
-def _drop_emails(c: Column) -> Column:
-    return F.when(c.contains("@"), F.regexp_replace(c, EMAIL, "")).otherwise(c)
-
-
 def without_links(c: Column) -> Column:
-    """Lower-case text without URLs and e-mail addresses. The cheap substring tests skip the regex passes."""
-    return _drop_emails(_drop_urls(F.lower(c)))
+    """Lower-case text without URLs and e-mail addresses.
+
+    Every step uses its input once: inside higher-order functions nothing is shared between two uses. The test for "@"
+    looks at the raw text, which spares most texts a regex pass.
+    """
+    plain = F.regexp_replace(F.lower(c), URL, "")
+    return F.when(c.contains("@"), F.regexp_replace(plain, EMAIL, "")).otherwise(plain)
 
 
 def clean_basic(c: Column) -> Column:
-    base = without_links(c)
-    base = F.when(base.contains("@"), F.regexp_replace(base, MENTION, "")).otherwise(base)
+    plain = F.regexp_replace(F.lower(c), URL, "")
+    base = F.when(
+        c.contains("@"), F.regexp_replace(F.regexp_replace(plain, EMAIL, ""), MENTION, "")
+    ).otherwise(plain)
     return F.coalesce(strip(collapse(base)), F.lit(""))
 
 
 def clean_nlp(c: Column) -> Column:
     """Basic cleaning, then letters, digits and apostrophes only, with English contractions expanded."""
-    out = F.regexp_replace(clean_basic(c), rf"[^a-zA-Z0-9'{WS}]", "")
+    out = F.regexp_replace(clean_basic(c), rf"(?U)[^a-zA-Z0-9'{WS}]", "")
     for short, full in CONTRACTIONS:
         out = F.replace(out, F.lit(short), F.lit(full))
     return strip(out)
 
 
 def _clean_letters(c: Column, letters: str) -> Column:
-    kept = F.regexp_replace(without_links(c), f"[^{letters}{WS}]", "")
+    kept = F.regexp_replace(without_links(c), rf"(?U)[^{letters}{WS}]", "")
     return F.coalesce(strip(collapse(kept)), F.lit(""))
 
 
@@ -107,10 +106,9 @@ def clean_ml(c: Column, fold_accents: bool = False) -> Column:
     so that they can meet keyword lists written without accents.
     """
     base = without_links(c)
-    base = F.when(
-        base.contains("\u00d7") | base.contains("\u00f7"), F.regexp_replace(base, r"(?U)\b\d+\b", "")
-    ).otherwise(base)
-    out = F.coalesce(F.btrim(F.regexp_replace(base, r"[^a-zA-Z\u00C0-\u017F]+", " ")), F.lit(""))
+    symbols = c.contains("\u00d7") | c.contains("\u00f7")
+    base = F.when(symbols, F.regexp_replace(base, r"(?U)\b\d+\b", "")).otherwise(base)
+    out = F.coalesce(F.btrim(F.regexp_replace(base, r"[^a-z\u00C0-\u017F]+", " ")), F.lit(""))
     if fold_accents:
         out = F.translate(out, "áàâãäéèêëíìîïóòôõöúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
     return out
@@ -118,7 +116,7 @@ def clean_ml(c: Column, fold_accents: bool = False) -> Column:
 
 def tokens(clean: Column) -> Column:
     """Words of a text already cleaned to single blanks; the empty text has none."""
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(clean, " "), "")
 
 
 def bigrams(words: Column) -> Column:
@@ -136,12 +134,12 @@ def text_features(c: Column) -> dict[str, Column]:
     text = F.coalesce(c, F.lit(""))
     chars = F.char_length(text)
     words = word_count(text)
-    solid = F.char_length(F.regexp_replace(text, f"[{WS}]+", ""))
+    solid = F.char_length(F.regexp_replace(text, rf"(?U)[{WS}]+", ""))
     upper = F.regexp_count(text, F.lit(r"\p{IsUppercase}"))
     return {
         "char_count": chars,
         "word_count": words,
-        "sentence_count": F.regexp_count(text, F.lit(rf"[^.!?{WS}][^.!?]*+")),
+        "sentence_count": F.regexp_count(text, F.lit(rf"(?U)[^.!?{WS}][^.!?]*+")),
         "avg_word_length": F.round(solid / F.greatest(words, F.lit(1)) * 100) / 100,
         "exclamation_count": chars - F.char_length(F.replace(text, F.lit("!"), F.lit(""))),
         "question_count": chars - F.char_length(F.replace(text, F.lit("?"), F.lit(""))),

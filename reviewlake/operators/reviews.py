@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.errors import DatasetError
 from reviewlake.functions.numeric import bin_label, bin_ordinal, count_if, mean, pct, pearson, rnd
-from reviewlake.operators.shares import unpivot_row, with_share
+from reviewlake.operators.shares import share_of, unpivot_row
 from reviewlake.schemas import rating_column, require
 
 LENGTH_BINS = [0, 50, 200, 500, 1000, 5000]
@@ -39,7 +39,8 @@ def reviews_by_month(df: DataFrame, year: int | None = None) -> DataFrame:
 def reviews_by_stars(df: DataFrame) -> DataFrame:
     """Count and share per rating value; unrated reviews count towards the total."""
     rating = rating_column(df)
-    return with_share(df.groupBy(rating).agg(F.count("*").alias("count"))).orderBy(rating)
+    counts = df.groupBy(rating).agg(F.count("*").alias("count"))
+    return counts.withColumn("percentage", share_of(df)).orderBy(rating)
 
 
 def rating_summary(df: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def by_text_length(df: DataFrame, bins: list[int] | None = None) -> DataFrame:
         )
     )
     return (
-        with_share(grouped, digits=1, name="pct")
+        grouped.withColumn("pct", share_of(df, digits=1))
         .withColumn("pct_ambiguous", pct(F.col("ambiguous_count"), F.col("count"), 1))
         .orderBy("bin_order")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.errors import DatasetError
 from reviewlake.functions import sentiment as S, text as txt
@@ -203,7 +203,8 @@ def gold_sentiment_stats(gold: DataFrame) -> DataFrame:
     counts = gold.groupBy("sentiment_label").agg(
         F.count("*").alias("count"), F.sum("sentiment_score").alias("_sum"), F.count("sentiment_score").alias("_n")
     )
-    average = counts.agg(rnd(F.try_divide(F.sum("_sum"), F.sum("_n")), 3)).scalar()
+    labels = Window.partitionBy()  # one row per label
+    average = rnd(F.try_divide(F.sum("_sum").over(labels), F.sum("_n").over(labels)), 3)
     return counts.select(
         "sentiment_label", "count",
         average.alias("avg_sentiment_score"),

@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewlake.functions.numeric import pct
 
 
-def grand_total(grouped: DataFrame, column: str = "count") -> Column:
-    """Sum of a count column over all groups, as a scalar subquery: no window over one partition, no join."""
-    return grouped.agg(F.sum(column)).scalar()
+def row_total(df: DataFrame) -> Column:
+    """Row count of a table as a scalar subquery. It reads no columns, so a stored table answers from its footers."""
+    return df.agg(F.count("*")).scalar()
 
 
-def with_share(grouped: DataFrame, digits: int = 2, column: str = "count", name: str = "percentage") -> DataFrame:
-    """Add each group's share of the total in percent."""
-    return grouped.withColumn(name, pct(F.col(column), grand_total(grouped, column), digits))
+def share_of(df: DataFrame, column: str = "count", digits: int = 2) -> Column:
+    """A count as percent of the rows of ``df``."""
+    return pct(F.col(column), row_total(df), digits)
 
 
 def unpivot_row(row: DataFrame, key: str, fields: dict[str, dict[str, str]], schema: str) -> DataFrame:

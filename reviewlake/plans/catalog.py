@@ -633,13 +633,13 @@ def weekly_series(t):
 @query
 def weekly_features(t):
     digits = {**_SERIES_DIGITS, **{c: 2 for c in ("revenue_lag_1", "revenue_lag_2", "revenue_lag_4")}}
-    return weekly.rounded(_features(t), {**digits, "revenue_roll_4": 1})
+    return weekly.rounded(_features(t), {**digits, "revenue_roll_4": 4})
 
 
 @query
 def weekly_features_current(t):
     frame = weekly.weekly_features(_series(t), include_current=True)
-    return frame.select("week", rnd(F.col("revenue_roll_4"), 1).alias("revenue_roll_4"))
+    return frame.select("week", rnd(F.col("revenue_roll_4"), 4).alias("revenue_roll_4"))
 
 
 @query

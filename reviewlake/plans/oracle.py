@@ -744,8 +744,8 @@ def oracle_sql() -> dict[str, str]:
     out["weekly_series"] = _sql(f"SELECT * REPLACE ({digits}) FROM weekly", "weekly")
     out["weekly_features"] = _sql(
         f"SELECT * EXCLUDE (roll_current) REPLACE ({digits}, round(revenue_lag_1, 2) AS revenue_lag_1, round(revenue_lag_2, 2) AS revenue_lag_2, "
-        "round(revenue_lag_4, 2) AS revenue_lag_4, round(revenue_roll_4, 1) AS revenue_roll_4) FROM weekly_frame", "weekly_frame")
-    out["weekly_features_current"] = _sql("SELECT week, round(roll_current, 1) AS revenue_roll_4 FROM weekly_frame", "weekly_frame")
+        "round(revenue_lag_4, 2) AS revenue_lag_4, round(revenue_roll_4, 4) AS revenue_roll_4) FROM weekly_frame", "weekly_frame")
+    out["weekly_features_current"] = _sql("SELECT week, round(roll_current, 4) AS revenue_roll_4 FROM weekly_frame", "weekly_frame")
     out["latest_weeks"] = _sql(
         "SELECT week, round(total_revenue, 2) AS total_revenue, order_count, week_of_year FROM weekly_frame WHERE total_revenue > 0 "
         "ORDER BY week DESC LIMIT 4", "weekly_frame")
