@@ -722,19 +722,19 @@ def stratified_folds(t):
 @query
 def sentiment_model_metrics(t):
     rows = classify.training_rows(t.reviews).select("review_id", "_clean", "_terms", "label_name")
-    return classify.sentiment_model_metrics(rows, "review_id", max_iter=30)
+    return classify.sentiment_model_metrics(rows, "review_id", max_iter=12)
 
 
 @query
 def neutral_trends(t):
     rows = classify.training_rows(t.reviews)
-    model = classify.train_sentiment(rows, "logistic", max_iter=30)
+    model = classify.train_sentiment(rows, "logistic", max_iter=15)
     return classify.neutral_trends(t.reviews, model)
 
 
 @query
 def aspect_model_metrics(t):
-    return classify.aspect_model_metrics(classify.aspect_training_rows(t.reviews, "review_id"), "review_id", max_iter=15)
+    return classify.aspect_model_metrics(classify.aspect_training_rows(t.reviews, "review_id"), "review_id", max_iter=8)
 
 
 @query
