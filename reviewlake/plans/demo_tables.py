@@ -57,14 +57,15 @@ class DemoTables:
     def _with_document(self, df: DataFrame, key: str) -> DataFrame:
         """Give every row a document, cycling through them by id.
 
-        The narrow side is spread by document before it meets the texts: a sorted join needs that shuffle anyway, and
-        after a broadcast join the text work would otherwise run in as many tasks as the small file has splits.
+        Texts are spread by key before the join: a sorted join needs that shuffle anyway, and when the narrow side is
+        broadcast the text work would otherwise run in as many tasks as the small documents file has splits.
         """
         spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.withColumn("_doc", F.col(key) % self._document_count).repartition(spread, "_doc").join(
-            self.base("documents").select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_lang")),
-            "_doc", "inner",
-        ).drop("_doc")
+        documents = self.base("documents").select(
+            F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_lang")
+        )
+        keyed = df.withColumn("_doc", F.col(key) % self._document_count)
+        return keyed.join(documents.repartition(spread, "_doc"), "_doc", "inner").drop("_doc")
 
     # --- raw tables ---------------------------------------------------------------------------
 
