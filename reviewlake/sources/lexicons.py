@@ -15,7 +15,7 @@ def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
 
     ``position`` keeps the order of the names in the file.
     """
-    lists = spark.read.option("wholetext", True).text(path).select(F.from_json("value", _NESTED).alias("m"))
+    lists = spark.read.text(path, wholetext=True).select(F.from_json("value", _NESTED).alias("m"))
     names = lists.select(F.posexplode(F.map_entries("m")).alias("position", "entry"))
     words = names.select("position", F.col("entry.key").alias("name"), F.explode(F.map_values("entry.value")).alias("ws"))
     return words.select("position", "name", F.explode("ws").alias("word")).select(

