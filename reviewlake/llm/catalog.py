@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import simhash
+from reviewlake.llm import licences, mixing, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by source weights takes of every document."""
+    docs = _table(spark, sf_dir, "documents").withColumn("size", mixing.word_count("text"))
+    mixed = mixing.mix(docs, "doc_id", "source", "size")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of 2048 tokens."""
+    placed = packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near-equal bytes over all documents."""
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op9_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence whose text a document is, and those that stand in it as a line; notices joined by commas."""
+    return licences.scan(_table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document by SimHash."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -24,4 +50,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One query per numbered operator."""
-    return {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+    return {f.__name__: f for f in (
+        op2_pivotal_mixing, op3_best_fit_packing, op8_sampled_splitter_sharding, op9_licence_digests, op10_simhash_near_dedup,
+    )}

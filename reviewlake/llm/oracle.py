@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from reviewlake.llm import licences
+
 
 def oracle_sql() -> dict[str, str]:
     """Query name to SQL over the given tables."""
-    return {}
+    return {"op9_licence_digests": licences.scan_sql()}

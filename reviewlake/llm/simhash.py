@@ -179,12 +179,16 @@ def near_duplicates(
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all their columns, that stand for their near-duplicate group: those with its smallest id.
+    """The rows of `docs`, all their columns, that stand for their near-duplicate group: one row each.
 
-    Rows that repeat that id all stay if their texts differ, one of them if the texts are equal; a row with a null id
-    stays only if no other id is in its group.
+    The row with the group's smallest id stays, of rows that share it the one with the smallest text hash; equal rows
+    leave one. A null id counts as the smallest.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    chosen = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return chosen.dropDuplicates([id_col, text_col])
+    keys = [F.xxhash64(F.col(id_col)).alias("_id_hash"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_hash")]
+    named = docs.select(F.struct(F.col(id_col).alias("id"), keys[1]).alias("row"), F.col(text_col).alias("text"))
+    found = near_duplicates(named, "row", "text")
+    chosen = found.select(F.col("component_id")).distinct().select(
+        F.xxhash64("component_id.id").alias("_id_hash"), F.col("component_id._text_hash").alias("_text_hash")
+    )
+    rows = docs.select(*docs.columns, *keys).join(chosen, ["_id_hash", "_text_hash"], "left_semi")
+    return rows.dropDuplicates(["_id_hash", "_text_hash"]).select(*docs.columns)
