@@ -90,7 +90,7 @@ def _runs(texts: list[str]) -> Iterator[tuple[int, str]]:
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Fit on a bounded sample of `rows`: about `rows_per_language` for each label, chosen by hash of the id.
 
-    Rows of fold 1 calibrate, the others train. Raises ValueError if no row has letters and a label.
+    Rows of fold 1 calibrate, the others train. Without a labelled row that has letters the model knows no language.
     """
     rows = rows.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -113,7 +113,7 @@ def train(examples: list[tuple[list[str], str, int]], width: int = 12, epochs: i
     """SGD over (words, label, fold); fold 1 is kept for calibration, unless it would leave nothing to learn from."""
     languages = sorted({label for _, label, _ in examples})
     if not languages:
-        raise ValueError("no labelled text with letters")
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, np.zeros(0))
     rng = np.random.default_rng(seed)
     held = np.array([k == 1 for *_, k in examples])
     if held.all() or len({examples[i][1] for i in np.flatnonzero(~held)}) < len(languages):
@@ -157,7 +157,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """(id, *extra, lang_pred, score, rejected) of every row, from its whole text alone.
 
     Null texts and texts without letters are `und` with score 0 and rejected; so is, under its likeliest language, a text
-    whose calibrated confidence lies below that language's threshold. Repeated rows give repeated results.
+    whose calibrated confidence lies below that language's threshold. A model without languages rejects only texts without
+    letters. Repeated rows give repeated results.
     """
     kept = [docs.schema[c] for c in (id_col, *extra)]
 
@@ -167,6 +168,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             names, score, rejected = [], [], []
             for _, texts in chunks(batch.column(0).to_pylist(), CHUNK_CHARS):
                 logits, some = model.logits(table, texts)
+                if not model.languages:
+                    names += [UNKNOWN] * len(texts)
+                    score.append(np.zeros(len(texts)))
+                    rejected.append(~some)
+                    continue
                 sure = model.probabilities(logits)
                 best = sure.argmax(axis=1)
                 top = np.where(some, sure[np.arange(len(texts)), best], 0.0)

@@ -29,6 +29,8 @@ HIDDEN, WORD_WIDTH, GRAM_WIDTH = 8, 6, 10
 ROWS_PER_CLASS, WINDOWS_PER_ROW = 3000, 6
 #: Rows of the sample that must have a word before it gets an embedding of its own.
 LEAST_ROWS = 20
+#: Steps that a fit on few rows takes at least.
+LEAST_STEPS = 240
 BATCH, CACHE_WORDS, CHUNK_CHARS = 4096, 200_000, 1_500_000
 #: Raw score of a text without words.
 WORDLESS = -12.0
@@ -228,6 +230,8 @@ def train(
     network = Network(sorted(w for w, n in rows.items() if n >= LEAST_ROWS))
     rng, order, step = np.random.default_rng(seed), np.arange(len(examples)), 0
     mean, square = ({k: np.zeros_like(v) for k, v in network.p.items()} for _ in range(2))
+    if examples:
+        epochs = max(epochs, LEAST_STEPS // -(-len(order) // batch))
     total = max(1, epochs * -(-len(order) // batch))
     for epoch in range(epochs):
         if epoch:
@@ -267,7 +271,7 @@ def _refined(network: Network, examples: list[tuple[list[str], int, int]]) -> np
         words, place, live = _windowed([own for own, *_ in examples[at : at + BATCH]])
         score[at : at + BATCH], _ = network.forward(network.projected(words), place, live)
     label, row = np.array([y for _, y, _ in examples]), np.array([r for *_, r in examples])
-    highest = np.full(row.max() + 1, -np.inf)
+    highest = np.full(row.max(initial=-1) + 1, -np.inf)
     np.maximum.at(highest, row, score)
     return np.flatnonzero((label == 0) | (score >= highest[row] - 1))
 
