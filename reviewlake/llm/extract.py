@@ -3,7 +3,7 @@
 The standard library's parser streams events; each block of text is a line with its characters and the tags seen since the
 line before. A line's ratio of text to tags is weighed by where it stands: nothing inside menus, adverts, footers and the
 like, more inside an article. The ratios are smoothed with a Gaussian; lines above the page's own threshold, the standard
-deviation of the smoothed ratios, form clusters. The page's regions that hold a cluster are its content, and all their
+deviation of the smoothed ratios, form clusters, and so does the highest line. The page's regions that hold a cluster are its content, and all their
 lines stay, so a short paragraph between long ones is not lost.
 """
 
@@ -141,7 +141,10 @@ def main_text(html: str) -> str:
     ratio = np.array([len(text) / max(1, tags) * weight for text, tags, _, weight in parser.lines])
     weight = np.array([w for *_, w in parser.lines])
     smooth = np.where(weight > 0, smoothed(ratio), 0.0)
-    clusters = {region for (_, _, region, w), high in zip(parser.lines, smooth >= min(smooth.std(), smooth.max()), strict=True) if w and high}
+    threshold = smooth.std()
+    high = (weight > 0) & (smooth >= threshold) & (ratio >= threshold)
+    high[np.argmax(ratio)] = True
+    clusters = {region for (_, _, region, _), above in zip(parser.lines, high, strict=True) if above}
     if articles := {region for region in clusters if region < 0}:
         clusters = articles
     return "\n".join(text for text, _, region, w in parser.lines if w and region in clusters)

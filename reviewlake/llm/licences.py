@@ -50,7 +50,7 @@ SPELLINGS = [
 ]
 
 #: Lines that name a copyright holder or reserve rights; patterns are those that Spark and DuckDB read alike.
-COPYRIGHT_LINE = r"(?m)^[ \t>*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[ \t>*#/;-]*(copyright[^\n]*([0-9]{4}|\(c\)|©)|copyright by |\(c\) |©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Every known notice of one line has this; a line without it can't be one.
 NOTICE_MARK = "licen"

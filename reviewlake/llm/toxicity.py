@@ -270,7 +270,7 @@ def _refined(network: Network, examples: list[tuple[list[str], int, int]]) -> np
     for at in range(0, len(examples), BATCH):
         words, place, live = _windowed([own for own, *_ in examples[at : at + BATCH]])
         score[at : at + BATCH], _ = network.forward(network.projected(words), place, live)
-    label, row = np.array([y for _, y, _ in examples]), np.array([r for *_, r in examples])
+    label, row = (np.array([e[k] for e in examples], np.int64) for k in (1, 2))
     highest = np.full(row.max(initial=-1) + 1, -np.inf)
     np.maximum.at(highest, row, score)
     return np.flatnonzero((label == 0) | (score >= highest[row] - 1))
