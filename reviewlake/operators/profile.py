@@ -97,9 +97,10 @@ def null_coverage(df: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("coverage", rnd(1 - F.try_divide(F.col("null_count"), F.col("row_count")), 4))
 
 
-def available_values(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
-    """The different values of a column in order, at most ``limit``."""
-    return require(df, column).select(column).distinct().orderBy(column).limit(limit)
+def available_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """The different values of a column in order: all, or the first ``limit``."""
+    values = require(df, column).select(column).distinct().orderBy(column)
+    return values if limit is None else values.limit(limit)
 
 
 def date_column(df: DataFrame) -> str | None:

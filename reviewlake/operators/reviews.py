@@ -10,7 +10,6 @@ from reviewlake.operators.shares import share_of, unpivot_row
 from reviewlake.schemas import rating_column, require
 
 LENGTH_BINS = [0, 50, 200, 500, 1000, 5000]
-MAX_DISTRIBUTION_VALUES = 50
 
 
 def by_year(df: DataFrame, year: int | None) -> DataFrame:
@@ -40,7 +39,7 @@ def reviews_by_stars(df: DataFrame) -> DataFrame:
     """Count and share per rating value; unrated reviews count towards the total."""
     rating = rating_column(df)
     counts = df.groupBy(rating).agg(F.count("*").alias("count"))
-    return counts.withColumn("percentage", share_of(df)).orderBy(rating)
+    return counts.withColumn("percentage", share_of()).orderBy(rating)
 
 
 def rating_summary(df: DataFrame) -> DataFrame:
@@ -58,19 +57,22 @@ def rating_summary(df: DataFrame) -> DataFrame:
     })
 
 
-def column_distribution(df: DataFrame, column: str, limit: int = MAX_DISTRIBUTION_VALUES) -> DataFrame:
-    """The most frequent values of a column with shares, plus the distinct count (null counts as a value)."""
+def column_distribution(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Values of a column with shares, the most frequent first, plus the distinct count (null counts as a value).
+
+    All values, or the first ``limit``.
+    """
     counts = require(df, column).groupBy(column).agg(F.count("*").alias("count"))
     totals = counts.agg(F.struct(F.sum("count").alias("rows"), F.count("*").alias("values"))).scalar()
-    return (
+    ranked = (
         counts.withColumn("_t", totals)
         .select(
             column, "count", pct(F.col("count"), F.col("_t.rows"), 2).alias("percentage"),
             F.col("_t.values").alias("unique_values"), F.col("_t.rows").alias("total_rows"),
         )
         .orderBy(F.desc("count"), F.asc_nulls_first(column))
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def top_entities(
@@ -102,7 +104,7 @@ def by_text_length(df: DataFrame, bins: list[int] | None = None) -> DataFrame:
         )
     )
     return (
-        grouped.withColumn("pct", share_of(df, digits=1))
+        grouped.withColumn("pct", share_of(digits=1))
         .withColumn("pct_ambiguous", pct(F.col("ambiguous_count"), F.col("count"), 1))
         .orderBy("bin_order")
     )

@@ -15,8 +15,7 @@ from reviewlake.errors import DatasetError
 from reviewlake.functions import sentiment as S, text as txt
 from reviewlake.functions.numeric import count_if, mean, pct, rnd
 from reviewlake.functions.vocabulary import DEFAULT_LEXICON, Lexicon
-from reviewlake.operators.reviews import by_rating, by_year
-from reviewlake.schemas import rating_column
+from reviewlake.schemas import rating_column, require
 
 METHODS = ("stars", "lexicon", "heuristic", "combined")
 SENTIMENT_CUT = 0.2
@@ -110,12 +109,17 @@ def sentiment_distribution(
     """Counts, shares and mean of the labels of all reviews with enough text.
 
     ``label`` supplies labels that are already in the table (from a model, or the gold layer); by default the lexicon
-    labels the texts. The unfiltered row count comes from the same input and reads no columns.
+    labels the texts. The same pass counts all rows; only those that the filters keep have their text looked at.
     """
-    original = df.agg(F.count("*")).scalar()
-    rows = by_rating(by_year(df, year), stars)
+    wanted = F.lit(True)
+    if year is not None:
+        wanted = wanted & (F.col("year") == year)
+        require(df, "year")
+    if stars is not None:
+        wanted = wanted & (F.col(rating_column(df)) == stars)
+    rows = df.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
     if label is None:
-        rows = rows.withColumn("_words", txt.clean_ml(F.col("text")))
+        rows = rows.withColumn("_words", F.when(F.col("_wanted"), txt.clean_ml(F.col("text"))))
         words = F.filter(txt.tokens(F.col("_words")), lambda w: w.isin(lexicon.words))
         rows = rows.withColumn(
             "_in", F.struct((F.char_length("_words") >= MIN_CLEAN_LENGTH).alias("valid"), words.alias("polar"))
@@ -125,15 +129,15 @@ def sentiment_distribution(
             "_label", F.when(F.col("_in.valid"), S.lexicon_score(F.col("_pn.pos"), F.col("_pn.neg"))["label"])
         )
     else:
-        rows = rows.withColumn("_label", label)
+        rows = rows.withColumn("_label", F.when(F.col("_wanted"), label))
     counts = rows.agg(
-        F.count("_label").alias("total_analyzed"),
+        F.count("*").alias("original_count"), F.count("_label").alias("total_analyzed"),
         *[count_if(F.col("_label") == name).alias(name) for name in S.LABELS],
     )
     total = F.col("total_analyzed")
     average = F.try_divide(F.col("positive") - F.col("negative"), total)
     return counts.select(
-        total, original.alias("original_count"), *S.LABELS,
+        total, "original_count", *S.LABELS,
         *[pct(F.col(name), total, 1).alias(f"{name}_pct") for name in S.LABELS],
         rnd(average, 3).alias("average_sentiment"),
         F.when(average > SENTIMENT_CUT, S.POSITIVE).when(average < -SENTIMENT_CUT, S.NEGATIVE)

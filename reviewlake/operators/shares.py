@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.functions.numeric import pct
 
 
-def row_total(df: DataFrame) -> Column:
-    """Row count of a table as a scalar subquery. It reads no columns, so a stored table answers from its footers."""
-    return df.agg(F.count("*")).scalar()
-
-
-def share_of(df: DataFrame, column: str = "count", digits: int = 2) -> Column:
-    """A count as percent of the rows of ``df``."""
-    return pct(F.col(column), row_total(df), digits)
+def share_of(column: str = "count", digits: int = 2) -> Column:
+    """A group's count as percent of all groups' counts. The window runs over the grouped rows, not over the table."""
+    return pct(F.col(column), F.sum(column).over(Window.partitionBy()), digits)
 
 
 def unpivot_row(row: DataFrame, key: str, fields: dict[str, dict[str, str]], schema: str) -> DataFrame:

@@ -57,19 +57,19 @@ def elite_comparison(users: DataFrame) -> DataFrame:
     ).orderBy("is_elite")
 
 
-def _maxima(users: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Column maxima of the whole table: the first of the two passes a relative score needs. One row comes back."""
-    return users.agg(*[F.max(c).alias(c) for c in columns]).first().asDict()
+def _with_maxima(users: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``_max``: column maxima of the whole table, at least 1, as a one-row scalar subquery."""
+    maxima = users.agg(F.struct(*[F.greatest(F.max(c), F.lit(1)).alias(c) for c in columns])).scalar()
+    return users.withColumn("_max", maxima)
 
 
 def user_influence(users: DataFrame) -> DataFrame:
     """Score from reviews, fans and useful votes relative to their maxima, plus an elite bonus; 4 digits."""
-    maxima = _maxima(users, list(VOTE_WEIGHTS))
     score = F.lit(0.0)
     for name, weight in VOTE_WEIGHTS.items():
-        score = score + F.try_divide(F.col(name), F.lit(maxima[name])) * weight
+        score = score + F.col(name) / F.col(f"_max.{name}") * weight
     score = score + F.col("is_elite").cast("double") * VOTE_ELITE_WEIGHT
-    return users.withColumn("influence_score", rnd(score, 4))
+    return _with_maxima(users, list(VOTE_WEIGHTS)).withColumn("influence_score", rnd(score, 4)).drop("_max")
 
 
 def user_influence_capped(users: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
@@ -84,11 +84,11 @@ def user_influence_capped(users: DataFrame, caps: dict[str, int] | None = None)
 
 def user_influence_relative(users: DataFrame) -> DataFrame:
     """The capped score's weights with caps read from the data (at least 1); not rounded."""
-    maxima = _maxima(users, list(WEIGHTS))
     score = F.lit(0.0)
     for name, weight in WEIGHTS.items():
-        score = score + F.col(name) / max(maxima[name] or 0, 1) * weight
-    return users.withColumn("influence_score", score + F.col("is_elite").cast("double") * ELITE_WEIGHT)
+        score = score + F.col(name) / F.col(f"_max.{name}") * weight
+    score = score + F.col("is_elite").cast("double") * ELITE_WEIGHT
+    return _with_maxima(users, list(WEIGHTS)).withColumn("influence_score", score).drop("_max")
 
 
 def influence_stats(scored: DataFrame) -> DataFrame:

@@ -95,7 +95,10 @@ def unified_reviews(t):
 
 @query
 def table_inventory(t):
-    names = ("events", "documents", "orders", "lineitem", "part", "customer", "not_written")
+    names = (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+        "benchmark", "labels", "conversations", "not_written",
+    )
     return inventory.table_inventory(t.spark, {n: f"{t.directory}/{n}.parquet" for n in names}).select(
         "table_name", "exists", "row_count", "column_count"
     )
@@ -396,7 +399,8 @@ def numeric_summary(t):
 
 @query
 def table_profile(t):
-    return profile.profile(t.orders.select("order_id", "order_status", "year", "month", "order_total", "item_count"))
+    ends = {c: rnd(F.col(c), 6) for c in ("min", "max")}  # sums of money end in float noise
+    return profile.profile(t.orders).withColumns(ends)
 
 
 @query
@@ -406,7 +410,7 @@ def profile_column(t):
 
 @query
 def sample_values(t):
-    return profile.sample_values(t.orders.select("order_id", "order_status", "year")).select(
+    return profile.sample_values(t.orders).select(
         "column_name", _joined("sample_values")
     )
 
@@ -671,8 +675,7 @@ def weekly_corr_significance(t):
 
 @query
 def odd_weeks(t):
-    closed = t.orders.where(F.col("month") != 2)
-    return quality.odd_weeks(weekly.weekly_series(closed, t.order_reviews)).select(
+    return quality.odd_weeks(weekly.weekly_series(t.orders, t.order_reviews)).select(
         "week", "order_count", "review_count", rnd(F.col("avg_review_score"), 4).alias("avg_review_score")
     )
 
@@ -722,19 +725,19 @@ def stratified_folds(t):
 @query
 def sentiment_model_metrics(t):
     rows = classify.training_rows(t.reviews).select("review_id", "_clean", "_terms", "label_name")
-    return classify.sentiment_model_metrics(rows, "review_id", max_iter=12)
+    return classify.sentiment_model_metrics(rows, "review_id")
 
 
 @query
 def neutral_trends(t):
     rows = classify.training_rows(t.reviews)
-    model = classify.train_sentiment(rows, "logistic", max_iter=15)
+    model = classify.train_sentiment(rows, "logistic")
     return classify.neutral_trends(t.reviews, model)
 
 
 @query
 def aspect_model_metrics(t):
-    return classify.aspect_model_metrics(classify.aspect_training_rows(t.reviews, "review_id"), "review_id", max_iter=8)
+    return classify.aspect_model_metrics(classify.aspect_training_rows(t.reviews, "review_id"), "review_id")
 
 
 @query

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.operators import silver
 from reviewlake.schemas import COMPLIMENTS
@@ -44,28 +44,23 @@ class DemoTables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.directory}/{name}.parquet")
 
-    # Row counts come from Parquet footers; ids cycle through documents and parts.
+    # Row counts are scalar subqueries over Parquet footers; ids cycle through documents and parts.
 
-    @cached_property
-    def _document_count(self) -> int:
-        return self.base("documents").count()
-
-    @cached_property
-    def _part_count(self) -> int:
-        return self.base("part").count()
+    def _rows(self, name: str) -> Column:
+        return self.base(name).agg(F.count("*")).scalar()
 
     def _with_document(self, df: DataFrame, key: str) -> DataFrame:
         """Give every row a document, cycling through them by id.
 
         Texts are spread by key before the join: a sorted join needs that shuffle anyway, and when the narrow side is
-        broadcast the text work would otherwise run in as many tasks as the small documents file has splits.
+        broadcast the text work would otherwise run in as many tasks as the small documents file has splits. Adaptive
+        execution sizes the partitions.
         """
-        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         documents = self.base("documents").select(
             F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_lang")
         )
-        keyed = df.withColumn("_doc", F.col(key) % self._document_count)
-        return keyed.join(documents.repartition(spread, "_doc"), "_doc", "inner").drop("_doc")
+        keyed = df.withColumn("_doc", F.col(key) % self._rows("documents"))
+        return keyed.join(documents.repartition("_doc"), "_doc", "inner").drop("_doc")
 
     # --- raw tables ---------------------------------------------------------------------------
 
@@ -77,7 +72,7 @@ class DemoTables:
             phrase = F.when((event * 3 + user) % 8 == residue, words).otherwise(phrase)
         events = self.base("events").select("event_id", "user_id", "ts")
         return self._with_document(events, "event_id").select(
-            event.alias("review_id"), "user_id", (event % self._part_count).alias("business_id"),
+            event.alias("review_id"), "user_id", (event % self._rows("part")).alias("business_id"),
             (1 + (event * 7 + user) % 5).cast("int").alias("stars"),
             (event % 11).cast("int").alias("useful"), (event % 5).cast("int").alias("funny"),
             (event % 7).cast("int").alias("cool"),

@@ -379,9 +379,13 @@ def oracle_sql() -> dict[str, str]:
     out["unified_reviews"] = _sql(
         "SELECT dataset, language, count(*) AS n, count(stars) AS rated, count(category) AS with_category, "
         "count(has_comment) AS with_flag, sum(text_length)::BIGINT AS characters FROM corpus GROUP BY 1, 2", "corpus")
-    tables = {"events": 6, "documents": 5, "orders": 6, "lineitem": 11, "part": 6, "customer": 5}
+    tables = (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+        "benchmark", "labels", "conversations",
+    )
     out["table_inventory"] = " UNION ALL ".join(
-        f"SELECT '{n}' AS table_name, true AS exists, count(*) AS row_count, {k} AS column_count FROM {n}" for n, k in tables.items()
+        f"SELECT '{n}' AS table_name, true AS exists, count(*) AS row_count, "
+        f"(SELECT count(*) FROM (DESCRIBE SELECT * FROM {n}))::INT AS column_count FROM {n}" for n in tables
     ) + " UNION ALL SELECT 'not_written', false, NULL, NULL"
 
     # --- review aggregates ---
@@ -575,11 +579,13 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{c}' AS column_name, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 2) AS mean FROM g"
         for c in ("stars", "count", "percentage")), "reviews",
         g="SELECT stars, count(*) AS count, round(count(*) / (SELECT count(*) FROM reviews ) * 100, 2) AS percentage FROM reviews GROUP BY stars")
-    kinds = [("order_id", "bigint", True), ("order_status", "string", False), ("year", "int", True), ("month", "int", True),
-             ("order_total", "double", True), ("item_count", "bigint", True)]
-    out["table_profile"] = _sql(" UNION ALL ".join(_profile_row(*k, "shop_orders") for k in kinds), "shop_orders")
+    kinds = [("order_id", "bigint", True), ("customer_id", "bigint", True), ("order_status", "string", False),
+             ("purchase_date", "timestamp_ntz", False), ("year", "int", True), ("month", "int", True), ("day_of_week", "int", True),
+             ("order_total", "double", True), ("freight_total", "double", True), ("item_count", "bigint", True)]
+    rows = " UNION ALL ".join(_profile_row(*k, "shop_orders") for k in kinds)
+    out["table_profile"] = _sql(f"SELECT * REPLACE (round(min, 6) AS min, round(max, 6) AS max) FROM ({rows}) p", "shop_orders")
     out["profile_column"] = _sql(_profile_row("text_length", "int", True, "order_reviews"), "order_reviews")
-    out["available_values"] = _sql("SELECT DISTINCT city FROM businesses ORDER BY city LIMIT 100", "businesses")
+    out["available_values"] = _sql("SELECT DISTINCT city FROM businesses ORDER BY city", "businesses")
     out["date_range"] = _sql(
         "SELECT strftime(min(date), '%Y-%m-%d') AS min_date, strftime(max(date), '%Y-%m-%d') AS max_date FROM reviews", "reviews")
     checks = {
@@ -762,8 +768,8 @@ def oracle_sql() -> dict[str, str]:
         ) + ") s", "weekly_frame",
         led="SELECT *, total_revenue AS t0, lead(total_revenue, 1) OVER (ORDER BY week) AS t1, lead(total_revenue, 2) OVER (ORDER BY week) AS t2 FROM weekly_frame ")
     out["odd_weeks"] = _sql(
-        f"SELECT week, order_count, review_count, round(avg_review_score, 4) AS avg_review_score FROM ({_weekly.replace('__ORDERS__', 'closed')}) w "
-        "WHERE order_count = 0 AND avg_review_score IS NOT NULL", "order_reviews", closed="SELECT * FROM shop_orders WHERE month <> 2")
+        f"SELECT week, order_count, review_count, round(avg_review_score, 4) AS avg_review_score FROM ({_weekly.replace('__ORDERS__', 'shop_orders')}) w "
+        "WHERE order_count = 0 AND avg_review_score IS NOT NULL", "order_reviews", "shop_orders")
 
     # --- evaluation ---
     out["eval_confusion"] = _sql(

@@ -16,8 +16,6 @@ from reviewlake.operators import (
 )
 from reviewlake.sources import inventory, readers, sinks
 
-# Development sample sizes used by ``build_all_silver`` unless told otherwise; None is the whole table.
-SAMPLE_SIZES = {"reviews": 100_000, "users": 100_000, "businesses": None, "undated": None, "orders": None}
 BUILDS = ("reviews", "users", "businesses", "undated", "orders")
 
 
@@ -89,11 +87,14 @@ class ReviewLake:
         return out
 
     def build_all_silver(self, overwrite: bool = False, sample_size: int | None = None) -> DataFrame:
-        """Build every silver table; a table that fails is reported and does not stop the others."""
+        """Build every silver table from all its rows, or from the first ``sample_size`` by key if that is given.
+
+        A table that fails is reported and does not stop the others.
+        """
         rows = []
         for dataset in BUILDS:
             try:
-                for path in self.build_dataset_silver(dataset, overwrite, sample_size or SAMPLE_SIZES[dataset]):
+                for path in self.build_dataset_silver(dataset, overwrite, sample_size):
                     rows.append((dataset, path, "built"))
             except (AnalysisException, MissingTableError, DatasetError) as e:
                 rows.append((dataset, None, f"error: {e}"[:500]))
@@ -197,11 +198,24 @@ class ReviewLake:
         forecaster = forecast.Forecaster.load(self.spark, self.path("models", "sales_forecast"))
         return forecast.model_quality(forecaster.metrics).withColumn("chosen", F.col("model") == forecaster.name)
 
-    def get_dataset_status(self) -> DataFrame:
-        """Existence, rows and columns of every silver and gold table."""
-        paths = {f"silver.{n}": self.path("silver", t) for n, t in schemas.SILVER.items()}
-        paths.update({f"gold.{n}": self.path("gold", t) for n, t in schemas.GOLD.items()})
-        return inventory.table_inventory(self.spark, paths)
+    def get_dataset_status(self, dataset: str | None = None) -> DataFrame:
+        """Existence, rows and columns of every bronze, silver and gold table, or of those of one dataset."""
+        shop = {n: (f"{self.path('bronze', 'shop')}/{n}.csv", "csv") for n in schemas.SHOP_TABLES}
+        raw = {n: (self.path("bronze", n), "json") for n in ("reviews", "users", "businesses")}
+        raw["undated_reviews"] = (self.path("bronze", "undated_reviews"), "csv")
+        paths = {f"bronze.{n}": p for n, p in (raw | {f"shop.{n}": p for n, p in shop.items()}).items()}
+        paths |= {f"silver.{n}": (self.path("silver", t), "parquet") for n, t in schemas.SILVER.items()}
+        paths |= {f"gold.{n}": (self.path("gold", t), "parquet") for n, t in schemas.GOLD.items()}
+        if dataset is not None:
+            own = {self._dataset(dataset).table} | ({"orders", "order_items", "sales"} if dataset == "orders" else set())
+            shown = lambda n: n.split(".")[-1] in own or (dataset == "orders" and ".shop." in n)
+            paths = {n: p for n, p in paths.items() if shown(n)}
+        status = None
+        for fmt in ("json", "csv", "parquet"):
+            if chosen := {n: path for n, (path, kind) in paths.items() if kind == fmt}:
+                part = inventory.table_inventory(self.spark, chosen, fmt)
+                status = part if status is None else status.unionByName(part)
+        return status.orderBy("table_name")
 
     def get_nlp_models_status(self, names: tuple[str, ...] = ("sentiment", "aspects", "sales_forecast")) -> DataFrame:
         """Which fitted models are stored: a model directory always holds metadata text files."""
@@ -211,8 +225,23 @@ class ReviewLake:
             rows.append((name, self.path("models", name), found is not None))
         return self.spark.createDataFrame(rows, "model string, path string, exists boolean")
 
-    def get_sentiment_distribution(self, dataset: str, year: int | None = None, stars: int | None = None) -> DataFrame:
-        return sentiment.sentiment_distribution(self._reviews(dataset, dated=year is not None), year, stars)
+    def train_sentiment_model(self, dataset: str, kind: str = "logistic") -> str:
+        """Fit a sentiment model on all rated reviews of a dataset and store it with its held-out metrics."""
+        path = self.path("models", "sentiment")
+        rows = classify.training_rows(self._reviews(dataset))
+        classify.train_sentiment(rows, kind).save(path)
+        kept = rows.select("review_id", "_clean", "_terms", "label_name")
+        classify.sentiment_model_metrics(kept, "review_id", (kind,)).write.mode("overwrite").parquet(f"{path}/quality")
+        return path
+
+    def get_sentiment_distribution(
+        self, dataset: str, year: int | None = None, stars: int | None = None, model: classify.SentimentModel | None = None
+    ) -> DataFrame:
+        """Labels by the lexicon, or by a fitted model."""
+        df = self._reviews(dataset, dated=year is not None)
+        if model is None:
+            return sentiment.sentiment_distribution(df, year, stars)
+        return sentiment.sentiment_distribution(classify.predict_sentiment(df, model), year, stars, label=F.col("predicted_label"))
 
     def get_aspect_distribution(
         self, dataset: str, sentiment_filter: str | None = None, stars: int | None = None
@@ -249,5 +278,18 @@ class ReviewLake:
             "profile": profile.profile(df), "samples": profile.sample_values(df), "capabilities": profile.capability_flags(df),
         }
 
+    def get_column_stats(self, table: str, column: str) -> DataFrame:
+        return profile.profile_column(self.silver(table), column)
+
+    def get_available_values(self, table: str, column: str, limit: int | None = None) -> DataFrame:
+        return profile.available_values(self.silver(table), column, limit)
+
+    def get_date_range(self, table: str) -> DataFrame | None:
+        return profile.date_range(self.silver(table))
+
+    def export_latest_weeks(self, path: str, weeks: int = 4) -> None:
+        """Write the last weeks of the weekly features as JSON."""
+        sinks.export_json(weekly.latest_weeks(weekly.weekly_features(self.weekly_series()), weeks), path)
+
     def get_feature_stats(self, dataset: str) -> DataFrame:
         return sentiment.gold_sentiment_stats(self.gold(self._dataset(dataset).table))

@@ -48,6 +48,7 @@ RAW_PRODUCTS = _struct(
 RAW_CUSTOMERS = _struct(
     customer_id=S, customer_unique_id=S, customer_zip_code_prefix=S, customer_city=S, customer_state=S,
 )
+RAW_SELLERS = _struct(seller_id=S, seller_zip_code_prefix=S, seller_city=S, seller_state=S)
 RAW_CATEGORIES = _struct(product_category_name=S, product_category_name_english=S)
 
 # The e-commerce tables by their short name.
@@ -57,6 +58,7 @@ SHOP_TABLES = {
     "reviews": RAW_ORDER_REVIEWS,
     "products": RAW_PRODUCTS,
     "customers": RAW_CUSTOMERS,
+    "sellers": RAW_SELLERS,
     "categories": RAW_CATEGORIES,
 }
 

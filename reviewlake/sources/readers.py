@@ -26,11 +26,12 @@ def read_json(
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None, encoding: str = "UTF-8",
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
-    """CSV with a header, doubled quotes and line breaks inside quoted comments.
+    """CSV with a header and doubled quotes.
 
-    ``multiline=False`` lets Spark split one large file over tasks, for files known to have no line breaks in fields.
+    Large files are split over tasks. ``multiline=True`` also reads line breaks inside quoted fields, but then a file is
+    one task's work.
     """
     df = (
         spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("escape", '"')
@@ -53,17 +54,23 @@ def read_businesses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_undated_reviews(
     spark: SparkSession, path: str, limit: int | None = None, encoding: str = "UTF-8",
-    schema: T.StructType = schemas.RAW_UNDATED,
+    schema: T.StructType = schemas.RAW_UNDATED, multiline: bool = True,
 ) -> DataFrame:
-    """Undated reviews from CSV. The encoding is the caller's to state (``ISO-8859-1`` for old exports)."""
-    return read_csv(spark, path, schema, limit, encoding)
+    """Undated reviews from CSV. The encoding is the caller's to state (``ISO-8859-1`` for old exports).
+
+    Review bodies may hold line breaks; ``multiline=False`` splits a file that has none.
+    """
+    return read_csv(spark, path, schema, limit, encoding, multiline)
 
 
-def read_shop_table(spark: SparkSession, directory: str, table: str, limit: int | None = None) -> DataFrame:
-    """One e-commerce table by name, from ``<directory>/<table>.csv``."""
+def read_shop_table(
+    spark: SparkSession, directory: str, table: str, limit: int | None = None, multiline: bool | None = None
+) -> DataFrame:
+    """One e-commerce table by name, from ``<directory>/<table>.csv``. Only review comments may hold line breaks by default."""
     if table not in schemas.SHOP_TABLES:
         raise ValueError(f"unknown table {table!r}; known tables are {sorted(schemas.SHOP_TABLES)}")
-    return read_csv(spark, f"{directory}/{table}.csv", schemas.SHOP_TABLES[table], limit)
+    breaks = table == "reviews" if multiline is None else multiline
+    return read_csv(spark, f"{directory}/{table}.csv", schemas.SHOP_TABLES[table], limit, multiline=breaks)
 
 
 def read_shop(spark: SparkSession, directory: str) -> dict[str, DataFrame | None]:
