@@ -102,9 +102,10 @@ def _held_out(features: DataFrame, models: tuple[str, ...]) -> DataFrame:
 def forecast_metrics(features: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
     """MAE, RMSE and R2 of every candidate on the held-out weeks, best R2 first."""
     ready = features.dropna(subset=FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-    return regression_metrics(_held_out(ready, models), TARGET, "predicted_revenue", by=["model"]).orderBy(
-        F.desc("r2"), "model"
-    )
+    found = regression_metrics(_held_out(ready, models), TARGET, "predicted_revenue", by=["model"])
+    settled = features.sparkSession.createDataFrame(found.collect(), found.schema)  # one row per model
+    ready.unpersist()
+    return settled.orderBy(F.desc("r2"), "model")
 
 
 def train_forecaster(features: DataFrame, models: tuple[str, ...] = MODELS) -> Forecaster:
@@ -112,7 +113,9 @@ def train_forecaster(features: DataFrame, models: tuple[str, ...] = MODELS) -> F
     ready = features.dropna(subset=FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     metrics = forecast_metrics(ready, models)
     best = metrics.first()["model"]
-    return Forecaster(best, fit_model(ready, best), metrics)
+    fitted = Forecaster(best, fit_model(ready, best), metrics)
+    ready.unpersist()
+    return fitted
 
 
 def next_week_inputs(

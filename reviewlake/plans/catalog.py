@@ -728,6 +728,12 @@ def sentiment_model_metrics(t):
     return classify.sentiment_model_metrics(rows, "review_id")
 
 
+@query
+def sentiment_cross_validation(t):
+    rows = classify.training_rows(t.reviews).select("review_id", "_clean", "_terms", "label_name")
+    return classify.cross_validate(rows, "review_id")
+
+
 @query
 def neutral_trends(t):
     rows = classify.training_rows(t.reviews)

@@ -772,6 +772,15 @@ def oracle_sql() -> dict[str, str]:
         "WHERE order_count = 0 AND avg_review_score IS NOT NULL", "order_reviews", "shop_orders")
 
     # --- evaluation ---
+    # A split cuts each label's hashes at ranks that follow from the label's size alone.
+    sizes = "SELECT stars, count(*) AS n FROM reviews GROUP BY stars"
+    out["stratified_split"] = _sql(
+        "SELECT stars, is_test, CASE WHEN is_test THEN cut ELSE n - cut END AS count FROM "
+        f"(SELECT *, round((n - 1) * 0.2)::BIGINT AS cut FROM ({sizes}) s) c, (VALUES (true), (false)) v(is_test)", "reviews")
+    out["stratified_folds"] = _sql(
+        "SELECT stars, fold, (CASE WHEN fold = 4 THEN n ELSE round((n - 1) * (fold + 1) / 5.0)::BIGINT END) "
+        "- (CASE WHEN fold = 0 THEN 0 ELSE round((n - 1) * fold / 5.0)::BIGINT END) AS count "
+        f"FROM ({sizes}) s, (SELECT range::INT AS fold FROM range(5)) f", "reviews")
     out["eval_confusion"] = _sql(
         "SELECT quality AS label, CASE WHEN label = 'negative' THEN 0 ELSE 1 END AS prediction, count(*) AS count "
         "FROM (SELECT review_id AS doc_id, label AS label FROM polarity) p JOIN labels USING (doc_id) GROUP BY 1, 2",

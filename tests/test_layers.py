@@ -153,3 +153,35 @@ def test_forecast_roundtrip(spark, folder, tables):
     a, b = (forecast.sales_forecast(f, series).first() for f in (trained, loaded))
     assert a["predicted_revenue"] == b["predicted_revenue"] and a["week_of_year"] == 32.0
     assert forecast.sales_forecast(loaded, series, overrides={"revenue_lag_1": 1.0}).first()["revenue_lag_1"] == 1.0
+
+
+def test_large_csv_is_read_in_parts_and_all_shop_tables_are_known(spark, folder):
+    from reviewlake import schemas
+    from reviewlake.sources import readers
+
+    assert len(schemas.SHOP_TABLES) == 7
+    with open(f"{folder}/sellers.csv", "w") as out:
+        out.write("seller_id,seller_zip_code_prefix,seller_city,seller_state\n")
+        out.writelines(f"s{k},{k},city,st\n" for k in range(200_000))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = readers.read_shop_table(spark, folder, "sellers")
+        assert df.rdd.getNumPartitions() > 2 and df.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_building_silver_keeps_every_row(spark, folder):
+    import json
+
+    from reviewlake.plans.service import ReviewLake
+
+    with open(f"{folder}/rows.json", "w") as out:
+        out.writelines(json.dumps({"review_id": f"r{k}", "user_id": "u", "business_id": "b", "stars": 5.0, "text": "fine", "date": "2020-01-01 00:00:00"}) + "\n" for k in range(100_500))
+    spark.read.text(f"{folder}/rows.json").write.text(f"{folder}/lake/bronze/reviews")
+    lake = ReviewLake(spark, f"{folder}/lake")
+    assert lake.build_all_silver().where("status = 'built'").count() == 1
+    assert lake.silver("reviews").count() == 100_500
+    assert lake.get_column_stats("reviews", "stars").first()["row_count"] == 100_500
+    assert {r["exists"] for r in lake.get_dataset_status("reviews").collect()} == {True, False}

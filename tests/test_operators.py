@@ -197,3 +197,44 @@ def test_profile_and_samples(spark):
 def test_category_counts(spark):
     df = spark.createDataFrame([("a, b",), ("b",), ("",), (None,)], "categories string")
     assert [tuple(r) for r in businesses.category_counts(df).collect()] == [("b", 2), ("a", 1)]
+
+
+def test_quantiles_keep_groups_without_values(spark):
+    from reviewlake.operators.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0)], "g string, v double")
+    rows = {r["g"]: r["m"] for r in exact_quantiles(df, "v", {"m": (0.5, "linear")}, by=["g"]).collect()}
+    assert rows == {"a": 2.0, "b": None, None: 5.0}
+
+
+def test_large_groups_take_the_sketch_path(spark, monkeypatch):
+    from reviewlake.operators import quantiles
+
+    df = spark.range(60_000).selectExpr("id % 2 AS g", "cast((id * 7919) % 60013 AS double) AS v")
+    wanted = {"m": (0.5, "linear"), "p": (0.9, "nearest")}
+    fast = sorted(map(tuple, quantiles.exact_quantiles(df, "v", wanted, by=["g"]).collect()))
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 1 << 40)
+    assert fast == sorted(map(tuple, quantiles.exact_quantiles(df, "v", wanted, by=["g"]).collect()))
+
+
+def test_splits_do_not_shuffle_on_the_label(spark):
+    from reviewlake.operators.sampling import stratified_split
+
+    df = spark.range(1000).selectExpr("id", "id % 3 AS label")
+    plan = stratified_split(df, "id", "label")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_first_rows_keep_the_smallest_keys(spark):
+    from reviewlake.operators.sampling import first_rows
+
+    df = spark.range(100).repartition(4)
+    assert sorted(r[0] for r in first_rows(df, "id", 7).collect()) == list(range(7))
+    assert first_rows(df, "id", 1000).count() == first_rows(df, "id", None).count() == 100
+
+
+def test_influence_with_a_zero_maximum(spark):
+    from reviewlake.operators.users import user_influence
+
+    df = spark.createDataFrame([(1, 4, 0, 0, True), (2, 8, 0, 0, False)], "user_id int, review_count int, fans int, useful int, is_elite boolean")
+    assert all(r["influence_score"] is not None for r in user_influence(df).collect())
