@@ -771,6 +771,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT week, order_count, review_count, round(avg_review_score, 4) AS avg_review_score FROM ({_weekly.replace('__ORDERS__', 'shop_orders')}) w "
         "WHERE order_count = 0 AND avg_review_score IS NOT NULL", "order_reviews", "shop_orders")
 
+    out["ambiguous_sample"] = _sql(
+        "SELECT review_id, text, text_length FROM reviews WHERE is_ambiguous "
+        "ORDER BY md5(review_id::VARCHAR || ':42'), review_id LIMIT 5", "reviews")
+
     # --- evaluation ---
     # A split cuts each label's hashes at ranks that follow from the label's size alone.
     sizes = "SELECT stars, count(*) AS n FROM reviews GROUP BY stars"
