@@ -43,7 +43,7 @@ KNOWN = {
 # Spellings that licence matching guidelines hold for equal, as they stand after punctuation is gone.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"),
-    ("sub license", "sublicense"), ("sub licensing", "sublicensing"), ("non infringement", "noninfringement"),
+    ("sublicence", "sublicense"), ("sublicencing", "sublicensing"), ("sub license", "sublicense"), ("sub licensing", "sublicensing"), ("non infringement", "noninfringement"),
     ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("organisation", "organization"), ("favour", "favor"),
     ("merchantibility", "merchantability"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("https", "http"),
