@@ -146,10 +146,11 @@ def train(examples: list[tuple[list[str], str, int]], width: int = 12, epochs: i
     loss = {t: -np.log(np.maximum(1e-12, _softmax(logits / t)[np.arange(len(chosen)), label[chosen]])).mean() for t in np.geomspace(0.1, 4, 38)}
     model.temperature = float(min(loss, key=loss.get))
     sure, right = model.probabilities(logits), logits.argmax(axis=1) == label[chosen]
+    # Halfway between chance and one half at most, so that a text in two languages is kept under the stronger one.
+    most = (1 / len(languages) + 0.5) / 2
     for k in range(len(languages)):
         own = sure[right & (label[chosen] == k), k]
-        # Below a coin's toss at most: a text that is surer than that of its language is never rejected.
-        model.least[k] = min(0.5, float(np.quantile(own, 0.001))) if len(own) else 0.5
+        model.least[k] = min(most, float(np.quantile(own, 0.001))) if len(own) else most
     return model
 
 
