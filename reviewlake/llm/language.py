@@ -29,8 +29,11 @@ CACHE_WORDS, CHUNK_CHARS = 500_000, 2_000_000
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters in lower case; none if nothing but number signs such as a superscript stands for letters."""
+    words = _LETTERS.findall(text.lower())
+    if words and not words[0].isalpha() and not any(c.isalpha() for w in words for c in w):
+        return []
+    return words
 
 
 @dataclass

@@ -22,7 +22,7 @@ def texts():
     plain = [prose(rng, rng.randint(1, 300)) for _ in range(60)]
     long = prose(rng, 30_000)
     near = [plain[k] + " " + prose(rng, 1) for k in range(0, 20, 2)]
-    return [*plain, *plain[:15], *near, None, "", " \n\t ", "a", "A", "é ñ", long, long + " tail", None, ""]
+    return [*plain, *plain[:15], *near, None, "", " \n\t ", "² ½ ③ 12", "a", "A", "é ñ", long, long + " tail", None, ""]
 
 
 @pytest.fixture(scope="session")
