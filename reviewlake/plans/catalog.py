@@ -670,7 +670,7 @@ def weekly_cross_corr(t):
 
 @query
 def weekly_corr_significance(t):
-    return weekly.with_significance(weekly.weekly_cross_corr(_features(t)))
+    return weekly.rounded(weekly.with_significance(weekly.weekly_cross_corr(_features(t))), {"r": 4, "p": 4})
 
 
 @query

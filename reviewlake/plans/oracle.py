@@ -272,12 +272,12 @@ TEXTS_REVIEWS = "SELECT review_id, stars, text, language, user_id, business_id,
 TEXTS_RAW = "SELECT review_id, stars, text, language FROM raw_reviews "
 _CORR = (
     "round(coalesce(covar_pop({x}, {y}) / nullif(stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) * "
-    "stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END), 0), 0), 4)"
+    "stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END), 0), 0), {digits})"
 )
 
 
-def _corr(x: str, y: str) -> str:
-    return _CORR.format(x=f"CAST({x} AS DOUBLE)", y=f"CAST({y} AS DOUBLE)")
+def _corr(x: str, y: str, digits: int = 4) -> str:
+    return _CORR.format(x=f"CAST({x} AS DOUBLE)", y=f"CAST({y} AS DOUBLE)", digits=digits)
 
 
 def _scored(score: str, label: str, confidence: str, ambiguous: str, model: str, source: str) -> str:
@@ -767,6 +767,20 @@ def oracle_sql() -> dict[str, str]:
             _COUNT_CORR.format(x=x, y=f"t{k}", r=_corr(x, f"t{k}"), t="led") for x in ("avg_review_score", "review_count") for k in range(3)
         ) + ") s", "weekly_frame",
         led="SELECT *, total_revenue AS t0, lead(total_revenue, 1) OVER (ORDER BY week) AS t1, lead(total_revenue, 2) OVER (ORDER BY week) AS t2 FROM weekly_frame ")
+    # Two-sided p of r with v = n - 2 degrees of freedom by the finite series of Student's t, where sin = |r|.
+    led = "SELECT *, total_revenue AS t0, lead(total_revenue, 1) OVER (ORDER BY week) AS t1, lead(total_revenue, 2) OVER (ORDER BY week) AS t2 FROM weekly_frame "
+    pairs = " UNION ALL ".join(
+        _COUNT_CORR.format(x=x, y=f"t{k}", r=_corr(x, f"t{k}", 15), t="led") for x in ("avg_review_score", "review_count") for k in range(3))
+    even = "exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(1 - r * r, k)"
+    odd = "exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - r * r, k + 0.5)"
+    out["weekly_corr_significance"] = _sql(
+        "SELECT metric, lag, n, round(r, 4) AS r, is_best, round(p, 4) AS p, coalesce(p < 0.05, false) AS significant FROM ("
+        "SELECT x AS metric, CAST(right(y, 1) AS INT) AS lag, n, r, row_number() OVER (ORDER BY abs(r) DESC, x, y) = 1 AS is_best, "
+        "CASE WHEN n % 2 = 0 THEN 1 - abs(r) * s ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * s) END AS p FROM ("
+        "SELECT x, y, n, r, coalesce(sum(CASE WHEN n % 2 = 0 AND k <= n / 2 - 2 THEN " + even
+        + " WHEN n % 2 = 1 AND k <= (n - 5) / 2 THEN " + odd + " END), 0) AS s "
+        "FROM c, (SELECT unnest(range((SELECT max(n) FROM c))) AS k) i GROUP BY x, y, n, r) t) q",
+        "weekly_frame", led=led, c=pairs.replace(" FROM led", " FROM led "))
     out["odd_weeks"] = _sql(
         f"SELECT week, order_count, review_count, round(avg_review_score, 4) AS avg_review_score FROM ({_weekly.replace('__ORDERS__', 'shop_orders')}) w "
         "WHERE order_count = 0 AND avg_review_score IS NOT NULL", "order_reviews", "shop_orders")
