@@ -78,9 +78,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     whose text or notice is a line of its own, in order, each once. Null counts as empty, which is no licence. Rows that
     repeat id and text get equal results.
     """
-    known = known_digests(docs.sparkSession)
+    known = F.broadcast(known_digests(docs.sparkSession))  # a fixed table of some 25 rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    whole = rows.select("id", "text", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    whole = rows.select("id", F.xxhash64("text").alias("h"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
     lines = F.filter(F.split(F.lower("text"), "\n"), lambda x: x.contains(NOTICE_MARK))
     lines = rows.where(F.lower("text").contains(NOTICE_MARK)).select(
         "id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(lines)).alias("line")
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         lines.select("id", "h", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
         .groupBy("id", "h").agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
     )
-    found = whole.join(known, "digest", "left").select("id", F.xxhash64("text").alias("h"), "digest", "license_id")
+    found = whole.join(known, "digest", "left")
     near = (found["id"].eqNullSafe(notices["id"])) & (found["h"] == notices["h"])
     joined = found.join(notices, near, "left")
     return joined.select(
