@@ -22,8 +22,8 @@ from reviewlake.llm.language import _share, fold, words_of
 from reviewlake.llm.subwords import WordTable, add_rows, chunks, gram_sums, grams
 
 LOW, HIGH, BUCKETS = 3, 5, 1 << 15
-#: Words of a window, and words from one window's start to the next.
-WINDOW, STRIDE = 40, 36
+#: Words of a window, and from one window's start to the next: a passage of up to 21 words lies whole in some window.
+WINDOW, STRIDE = 40, 20
 HIDDEN, WORD_WIDTH, GRAM_WIDTH = 8, 6, 10
 #: Labelled rows of either class that a fit sees at most, and windows taken from each.
 ROWS_PER_CLASS, WINDOWS_PER_ROW = 3000, 6

@@ -64,6 +64,13 @@ def test_windows_cover_every_word():
         assert seen == set(range(n))
 
 
+def test_passages_lie_whole_in_a_window_at_every_offset():
+    passage = toxicity.WINDOW // 2
+    _, start, size = toxicity.windows(np.array([300]))
+    for at in range(300 - passage + 1):
+        assert any(s <= at and at + passage <= s + n for s, n in zip(start, size, strict=True)), at
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
