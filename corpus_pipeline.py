@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import language, mixing, packing, shingles, toxicity
+from reviewlake.llm import language, mixing, packing, simhash, toxicity
 from reviewlake.llm.scratch import save
 
 
@@ -20,8 +20,11 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by five-word shingle similarity 0.8 or more: the one with the smallest id."""
-    return shingles.keep_representatives(docs)
+    """Keep one document of each SimHash group (4-word shingles, 4 differing bits): the one with the smallest id.
+
+    Null and wordless texts are one group; equal rows leave one.
+    """
+    return simhash.keep_representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
