@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import digest, extract, gridjoin, language, licences, mixing, packing, sharding, simhash, toxicity
+from reviewlake.llm import (
+    alignment, digest, extract, gridjoin, language, licences, mixing, packing, sharding, simhash, spelling, toxicity, treepacking,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,9 +83,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_tournament_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of 2048 tokens or a power of two below."""
+    return treepacking.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every frequent word, with planted slips of one run in 199."""
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents"), slip=199))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """One query per numbered operator."""
     return {f.__name__: f for f in (
         op1_epsilon_grid_join, op2_pivotal_mixing, op3_best_fit_packing,
         op4_improbable_feature_digest, op5_subword_language_id, op6_gru_toxicity, op7_tag_ratio_extraction, op8_sampled_splitter_sharding, op9_licence_digests, op10_simhash_near_dedup,
+        op11_tournament_tree_packing, op12_spelling_variants, op13_tokenizer_alignment,
     )}

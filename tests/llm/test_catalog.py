@@ -13,6 +13,9 @@ CONTRACT = {
     "op5": ["doc_id", "held_out", "lang_pred", "score"], "op6": ["doc_id", "held_out", "score", "predicted"],
     "op7": ["page_id", "url", "text", "n_chars"], "op8": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op9": ["doc_id", "digest", "license_id", "notices"], "op10": ["doc_id", "fingerprint", "component_id"],
+    "op11": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op12": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
