@@ -62,7 +62,7 @@ class Windows(dict):
 
     def __init__(self, a: Vocabulary, b: Vocabulary) -> None:
         super().__init__()
-        self._a, self._b = a, b
+        self._a_lengths, self._b_lengths, self._b_size = a.lengths.tolist(), b.lengths.tolist(), b.size
         self.forget()
 
     def forget(self) -> None:
@@ -71,16 +71,19 @@ class Windows(dict):
         self.pairs, self.starts, self.held = array("q"), array("q", [0]), 0
 
     def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(x, np.uint32) for x in key)
-        a_ends, b_ends = np.cumsum(self._a.lengths[a]), np.cumsum(self._b.lengths[b])
-        _, a_last, b_last = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        a_ids, b_ids = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        for m, n in zip(a_last.tolist(), b_last.tolist(), strict=True):
-            groups.append(f"{','.join(a_ids[i : m + 1])}|{','.join(b_ids[j : n + 1])}")
-            i, j = m + 1, n + 1
+        a, b = (memoryview(x).cast("I").tolist() for x in key)
+        a_lengths, b_lengths = self._a_lengths, self._b_lengths
+        groups, ahead, i, j, n = [], 0, 0, 0, 0
+        for m, x in enumerate(a, 1):
+            ahead += a_lengths[x]  # bytes by which a's tokens are ahead of b's
+            while ahead > 0:
+                ahead -= b_lengths[b[n]]
+                n += 1
+            if not ahead:
+                groups.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
+                self.pairs.append(x * self._b_size + b[n - 1])
+                i, j = m, n
         self.groups.append(";".join(groups))
-        self.pairs.extend((a[a_last].astype(np.int64) * self._b.size + b[b_last]).tolist())
         self.starts.append(len(self.pairs))
         self.held += 200 + 2 * len(key[0]) + 2 * len(key[1]) + len(self.groups[-1])
         place = self[key] = len(self.groups) - 1
