@@ -238,3 +238,63 @@ def test_influence_with_a_zero_maximum(spark):
 
     df = spark.createDataFrame([(1, 4, 0, 0, True), (2, 8, 0, 0, False)], "user_id int, review_count int, fans int, useful int, is_elite boolean")
     assert all(r["influence_score"] is not None for r in user_influence(df).collect())
+
+
+def test_brackets_are_narrowed_until_few_values_are_ranked(spark, monkeypatch):
+    """Ten million different values and long runs of one value: exact, and no task ranks more than a bounded number."""
+    monkeypatch.setattr(quantiles, "MOST_RANKED", 500)
+    n = 10_000_000
+    df = spark.range(n).selectExpr("cast((id * 7919) % 10000019 AS double) / 3 AS v")
+    values = np.sort((np.arange(n, dtype=np.int64) * 7919) % 10000019) / 3
+    wanted = {"low": (0.01, "linear"), "mid": (0.5, "linear"), "high": (0.987, "nearest"), "least": (0.0, "linear"), "most": (1.0, "nearest")}
+    found = quantiles.exact_quantiles(df, "v", wanted)
+    row = found.first()
+    for name, (q, how) in wanted.items():
+        assert math.isclose(row[name], np.quantile(values, q, method=how), rel_tol=1e-12), name
+    tied = spark.range(400_000).selectExpr("id % 2 AS g", "CASE WHEN id % 10 < 4 THEN 5.0 WHEN id % 10 < 8 THEN 7.0 ELSE id * 1e-5 + 4.0 END AS v")
+    rows = {r["g"]: r for r in quantiles.exact_quantiles(tied, "v", wanted, by=["g"]).collect()}
+    every = tied.toPandas()
+    for g in (0, 1):
+        own = every["v"][every["g"] == g].to_numpy()
+        for name in ("low", "mid", "high"):
+            q, how = wanted[name]
+            expected = np.quantile(own, q) if how == "linear" else np.sort(own)[int((len(own) - 1) * q + 0.5)]
+            assert math.isclose(rows[g][name], expected, rel_tol=1e-12), (g, name)
+
+
+def test_the_last_step_ranks_few_rows(spark, monkeypatch):
+    from reviewlake.operators.quantiles import _narrow
+
+    monkeypatch.setattr(quantiles, "MOST_RANKED", 2_000)
+    data = spark.range(5_000_000).selectExpr("id AS _v", "cast(id AS double) AS _d")
+    from pyspark.sql import Row
+
+    start = [Row(_n=5_000_000, _edges=[[0.0, 5e6], [2e6, 3e6]])]
+    (row,) = _narrow(data, [], start, {"a": (0.3, "linear"), "b": (0.5, "nearest")})
+    for (low, high), rank in zip(row["_edges"], (1_500_000 - 0.5, 2_500_000), strict=True):
+        assert low <= rank <= high and data.where((F.col("_d") > low) & (F.col("_d") < high)).count() <= 2_000
+
+
+@pytest.mark.parametrize("kind", ["id", "concat('k', id % 70000)", "date_add(date'1970-01-01', cast(id % 30000 as int))", "if(id % 3 = 0, null, id % 1000)", "struct(id % 50, id)"])
+def test_half_of_a_large_table(spark, monkeypatch, kind):
+    monkeypatch.setattr(sampling, "MOST_SORTED", 1_000)
+    monkeypatch.setattr(sampling, "SAMPLED", 500)
+    df = spark.range(200_000).selectExpr(f"{kind} AS k", "id").repartition(6)
+    ordered = df.orderBy(F.asc_nulls_first("k")).select("k")
+    for n in (1_500, 100_000, 199_999, 200_000, 300_000):
+        last = ordered.limit(n).agg(F.max("k")).first()[0]
+        expected = df.where(F.col("k").isNull() | (F.col("k") <= F.lit(last) if not isinstance(last, tuple) else F.col("id") < 0)) if not isinstance(last, tuple) else None
+        found = sampling.first_rows(df, "k", n)
+        if expected is not None:
+            assert found.count() == expected.count()
+        else:
+            assert found.count() == min(n, 200_000)
+
+
+def test_order_statistic_edges(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MOST_SORTED", 100)
+    monkeypatch.setattr(sampling, "SAMPLED", 50)
+    df = spark.createDataFrame([(None,), *[("same",)] * 3000, ("a",), ("z",)], "k string")
+    got = [sampling.order_statistic(df, "k", r).first()["key"] for r in (0, 1, 1500, 3000, 3001)]
+    assert got == ["a", "same", "same", "same", "z"]
+    assert sampling.order_statistic(df, "k", 3002) is None and sampling.order_statistic(df.limit(0), "k", 0) is None
