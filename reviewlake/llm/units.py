@@ -6,6 +6,7 @@ hold them equal to the tokenizers' own ids of whole texts.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -88,12 +89,27 @@ class UnitEncoder:
         return ids, lengths
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Byte that each character of a byte-level vocabulary stands for: visible Latin-1 itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)).difference(plain)))}
+
+
 class WordEncoder(UnitEncoder):
     """A vocabulary whose tokenizer drops white space and splits at it, as ids of `tokenizers` with add_special_tokens=False.
 
     Texts with a special token's string or a control character that the two split differently go through it as they are.
+    Units of Latin-1 characters alone are split and lower-cased here and merged by the same vocabulary given as ranks, where
+    its ids are in the order of its merges; a word's end is the byte WORD_END, which such units don't hold.
     """
 
+    WORD_END = "\x01"
+    _END = "</w>"
+    #: Letters and numbers of Latin-1, lower-cased.
+    _L, _N = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+    _latin = re.compile(r"[\x02-\xff]+")
+    _part = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -102,12 +118,38 @@ class WordEncoder(UnitEncoder):
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self.size = self._tokenizer.get_vocab_size()
+        with open(path, encoding="utf-8") as file:
+            self._ranked = self._by_ranks(json.load(file)["model"])
+
+    def _by_ranks(self, model: dict):
+        """An encoder of the same merges by rank, or None where ids aren't in the order of the merges."""
+        import tiktoken
+
+        vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        alphabet, first = byte_alphabet(), 2 * 256
+        if model.get("end_of_word_suffix") != self._END or any(vocabulary.get(a + b) != first + k for k, (a, b) in enumerate(merges)):
+            return None
+        ranks = {}
+        for token, rank in vocabulary.items():
+            if rank < first + len(merges):
+                body, end = (token[: -len(self._END)], self.WORD_END.encode()) if token.endswith(self._END) else (token, b"")
+                ranks[bytes(map(alphabet.__getitem__, body)) + end] = rank
+        if len(ranks) != first + len(merges):
+            return None
+        return tiktoken.Encoding("words", pat_str=f"[^{self.WORD_END}]+{self.WORD_END}", mergeable_ranks=ranks, special_tokens={})
 
     def split(self, text: str) -> list[str]:
         return text.split()
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        if self._ranked is None:
+            return [e.ids for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        latin, part, merge, end = self._latin.fullmatch, self._part.findall, self._ranked.encode_ordinary, self.WORD_END
+        found = [merge(end.join(part(u.lower())) + end) if latin(u) else None for u in units]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, e in zip(rest, self._tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        return found
 
     def encode_whole(self, text: str) -> list[int] | None:
         if _ODD.search(text) or any(s in text for s in self._special):
