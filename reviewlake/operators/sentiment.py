@@ -121,18 +121,20 @@ def sentiment_distribution(
     if label is None:
         rows = rows.withColumn("_words", F.when(F.col("_wanted"), txt.clean_ml(F.col("text"))))
         words = F.filter(txt.tokens(F.col("_words")), lambda w: w.isin(lexicon.words))
-        rows = rows.withColumn(
-            "_in", F.struct((F.char_length("_words") >= MIN_CLEAN_LENGTH).alias("valid"), words.alias("polar"))
-        )
-        pos, neg = S.polar_counts(F.col("_in.polar"), lexicon)
-        rows = rows.withColumn("_pn", F.struct(pos.alias("pos"), neg.alias("neg"))).withColumn(
-            "_label", F.when(F.col("_in.valid"), S.lexicon_score(F.col("_pn.pos"), F.col("_pn.neg"))["label"])
-        )
+        # plain columns and not fields of a struct, which the optimizer would write out again at every use
+        rows = rows.withColumn("_polar", F.when(F.char_length("_words") >= MIN_CLEAN_LENGTH, words))
+        pos, neg = S.polar_counts(F.col("_polar"), lexicon)
+        rows = rows.withColumn("_hits", F.when(F.col("_polar").isNotNull(), F.struct(pos.alias("pos"), neg.alias("neg"))))
+        scored = S.lexicon_score(F.col("_hits.pos"), F.col("_hits.neg"))["label"]
+        rows = rows.withColumn("_label", F.when(F.col("_hits").isNotNull(), scored))
     else:
         rows = rows.withColumn("_label", F.when(F.col("_wanted"), label))
-    counts = rows.agg(
-        F.count("*").alias("original_count"), F.count("_label").alias("total_analyzed"),
-        *[count_if(F.col("_label") == name).alias(name) for name in S.LABELS],
+    # the label is a grouping key, so that its text work stands in the plan once and not in every count
+    grouped = rows.groupBy("_label").agg(F.count("*").alias("_n"))
+    some = lambda kept: F.coalesce(F.sum(F.when(kept, F.col("_n"))), F.lit(0).cast("bigint"))
+    counts = grouped.agg(
+        some(F.lit(True)).alias("original_count"), some(F.col("_label").isNotNull()).alias("total_analyzed"),
+        *[some(F.col("_label") == name).alias(name) for name in S.LABELS],
     )
     total = F.col("total_analyzed")
     average = F.try_divide(F.col("positive") - F.col("negative"), total)

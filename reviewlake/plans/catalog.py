@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.functions import dates, text as txt
 from reviewlake.functions.numeric import rnd
+from reviewlake.functions.vocabulary import DEFAULT_LEXICON, DEFAULT_TAXONOMY
 from reviewlake.operators import (
-    aspects, businesses, classify, evaluation, filters, forecast, profile, quality, reviews, sales, sampling,
+    aspects, businesses, classify, evaluation, filters, forecast, matching, profile, quality, reviews, sales, sampling,
     sentiment, silver, terms, users, weekly,
 )
 from reviewlake.plans.demo_tables import DemoTables
@@ -580,6 +581,12 @@ def aspect_mentions(t):
     return aspects.mentions(t.reviews, ["review_id"])
 
 
+@query
+def aspect_mentions_joined(t):
+    lists = (matching.TermTable.of(t.reviews.sparkSession, x) for x in (DEFAULT_TAXONOMY, DEFAULT_LEXICON))
+    return matching.mentions(t.reviews, "review_id", *lists)
+
+
 @query
 def aspect_distribution(t):
     return aspects.aspect_distribution(t.reviews)

@@ -699,6 +699,7 @@ def oracle_sql() -> dict[str, str]:
 
     # --- aspects ---
     out["aspect_mentions"] = _sql("SELECT * FROM mentions", "mentions", texts=TEXTS_REVIEWS)
+    out["aspect_mentions_joined"] = out["aspect_mentions"]
     out["aspect_distribution"] = _sql(_aspect_table("true"), "mentions", "polarity", texts=TEXTS_REVIEWS, kept=_kept("true"))
     out["aspects_negative"] = _sql(
         _aspect_table("true"), "mentions", "polarity", texts=TEXTS_REVIEWS, kept=_kept("p.label = 'negative'"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.functions.vocabulary import Lexicon, Taxonomy
+from reviewlake.operators.matching import TermTable
 
 _NESTED = "map<string, map<string, array<string>>>"
-MAX_WORDS = 100_000  # word lists end up in expressions, so they must stay small
+MAX_WORDS = 100_000  # longer word lists stay tables and are joined; shorter ones end up in expressions
 
 
 def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -23,19 +24,26 @@ def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
     ).distinct()
 
 
-def _collect(spark: SparkSession, path: str) -> dict[str, dict[str, list[str]]]:
-    rows = read_word_lists(spark, path).orderBy("position", "word").limit(MAX_WORDS + 1).collect()
+def _collect(words: DataFrame) -> dict[str, dict[str, list[str]]] | None:
+    """The lists by name, or None where they hold more than MAX_WORDS words."""
+    rows = words.limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
-        raise ValueError(f"{path}: more than {MAX_WORDS} words; use a join instead of a word list")
+        return None
     out: dict[str, dict[str, list[str]]] = {}
-    for row in rows:
+    for row in sorted(rows, key=lambda r: (r["position"], r["word"])):
         out.setdefault(row["name"], {"all": []})["all"].append(row["word"])
     return out
 
 
-def load_taxonomy(spark: SparkSession, path: str) -> Taxonomy:
-    return Taxonomy.of(_collect(spark, path))
+def load_taxonomy(spark: SparkSession, path: str) -> Taxonomy | TermTable:
+    """Aspect keywords: for expressions while they are few, else a table for joins. Both find the same mentions."""
+    words = read_word_lists(spark, path)
+    lists = _collect(words)
+    return TermTable(words.select("name", "word").distinct()) if lists is None else Taxonomy.of(lists)
 
 
-def load_lexicon(spark: SparkSession, path: str) -> Lexicon:
-    return Lexicon.of(_collect(spark, path))
+def load_lexicon(spark: SparkSession, path: str) -> Lexicon | TermTable:
+    """Polarity words, as `load_taxonomy`."""
+    words = read_word_lists(spark, path)
+    lists = _collect(words)
+    return TermTable(words.select("name", "word").distinct()) if lists is None else Lexicon.of(lists)
