@@ -58,11 +58,14 @@ class Vocabulary:
 
 
 class Windows(dict):
-    """Place of each window's alignment, by its two id tuples, held as bytes of unsigned 32-bit ids."""
+    """Place of each window's alignment by its two id tuples, held as bytes with an id between them that no token has."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary) -> None:
         super().__init__()
+        narrow = max(a.size, b.size) < 0xFF00  # else a mark could be read across two ids
+        self.dtype, self._code, self.mark = ("<u2", "H", b"\xff" * 2) if narrow else ("<u4", "I", b"\xff" * 4)
         self._a_lengths, self._b_lengths, self._b_size = a.lengths.tolist(), b.lengths.tolist(), b.size
+        self._a_names, self._b_names = ([str(k) for k in range(side.size)] for side in (a, b))
         self.forget()
 
     def forget(self) -> None:
@@ -70,22 +73,28 @@ class Windows(dict):
         self.groups: list[str] = []
         self.pairs, self.starts, self.held = array("q"), array("q", [0]), 0
 
-    def __missing__(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (memoryview(x).cast("I").tolist() for x in key)
-        a_lengths, b_lengths = self._a_lengths, self._b_lengths
-        groups, ahead, i, j, n = [], 0, 0, 0, 0
-        for m, x in enumerate(a, 1):
+    def __missing__(self, key: bytes) -> int:
+        cut, whole = key.index(self.mark), memoryview(key)
+        a = whole[:cut].cast(self._code).tolist()
+        b = whole[cut + len(self.mark) :].cast(self._code).tolist()
+        a_lengths, b_lengths, a_names, b_names = self._a_lengths, self._b_lengths, self._a_names, self._b_names
+        groups, left, right, ahead, n = [], [], [], 0, 0
+        for x in a:
+            left.append(a_names[x])
             ahead += a_lengths[x]  # bytes by which a's tokens are ahead of b's
             while ahead > 0:
-                ahead -= b_lengths[b[n]]
+                y = b[n]
+                right.append(b_names[y])
+                ahead -= b_lengths[y]
                 n += 1
             if not ahead:
-                groups.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-                self.pairs.append(x * self._b_size + b[n - 1])
-                i, j = m, n
-        self.groups.append(";".join(groups))
+                groups.append(f"{','.join(left)}|{','.join(right)}")
+                self.pairs.append(x * self._b_size + y)
+                left, right = [], []
+        text = ";".join(groups)
+        self.groups.append(text)
         self.starts.append(len(self.pairs))
-        self.held += 200 + 2 * len(key[0]) + 2 * len(key[1]) + len(self.groups[-1])
+        self.held += 250 + len(key) + len(text)
         place = self[key] = len(self.groups) - 1
         return place
 
@@ -126,10 +135,10 @@ class Aligner:
         anchors = np.intersect1d(a_starts[self.a.spaced[a]], b_starts[self.b.spaced[b]], assume_unique=True)
         a_cuts = np.r_[np.searchsorted(a_starts, anchors), len(a)]
         b_cuts = np.r_[np.searchsorted(b_starts, anchors), len(b)]
-        a_bytes, b_bytes = a.astype(np.uint32).tobytes(), b.astype(np.uint32).tobytes()
-        i, k = (4 * a_cuts).tolist(), (4 * b_cuts).tolist()
         windows = self._windows
-        place = [windows[a_bytes[p:q], b_bytes[r:s]] for p, q, r, s in zip(i, i[1:], k, k[1:], strict=False)]
+        a_bytes, b_bytes, mark = a.astype(windows.dtype).tobytes(), b.astype(windows.dtype).tobytes(), windows.mark
+        i, k = (len(mark) * a_cuts).tolist(), (len(mark) * b_cuts).tolist()
+        place = [windows[a_bytes[p:q] + mark + b_bytes[r:s]] for p, q, r, s in zip(i, i[1:], k, k[1:], strict=False)]
 
         # a text begins with a space on both sides, so its start is an anchor
         first = np.searchsorted(a_cuts[:-1], np.r_[0, np.cumsum(n_a)]).tolist()
@@ -140,8 +149,12 @@ class Aligner:
         links, ends = gather(np.array(windows.pairs, np.int64), np.array(windows.starts, np.int64), np.array(place, np.int64))
         n_links = np.diff(np.r_[0, ends][first])
         text = np.repeat(np.arange(len(texts)), n_links)
-        order = np.lexsort((links, text))
-        links, text = links[order], text[order]
+        if self.a.size * self.b.size * (len(texts) + 1) < 1 << 62:  # one number sorts faster than two
+            both = np.sort(text * (self.a.size * self.b.size) + links)
+            text, links = np.divmod(both, self.a.size * self.b.size)
+        else:
+            order = np.lexsort((links, text))
+            links, text = links[order], text[order]
         fresh = np.flatnonzero(np.r_[True, (links[1:] != links[:-1]) | (text[1:] != text[:-1])][: len(links)])
         return {
             "n_a": n_a, "n_b": n_b, "n_groups": n_links, "groups_sha256": hashes, "pairs": links[fresh],
