@@ -5,13 +5,17 @@ All inputs are weekly rows (one per week and group), already aggregated on the e
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from reviewlake.functions.dates import next_week_of_year
 from reviewlake.operators.evaluation import regression_metrics
@@ -32,6 +36,9 @@ DEFAULT_INPUTS = {
 DEFAULT_RATIOS = {"revenue_lag_2": 0.95, "revenue_lag_4": 0.9}
 QUALITY_CUTS = (("excellent", 0.8), ("good", 0.6), ("moderate", 0.4), ("low", 0.0))
 
+# The ridge solver travels with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def chronological_split(features: DataFrame, train_share: float = TRAIN_SHARE) -> DataFrame:
     """Add ``is_test``: the last weeks of the calendar are held out."""
@@ -118,14 +125,8 @@ def train_forecaster(features: DataFrame, models: tuple[str, ...] = MODELS) -> F
     return fitted
 
 
-def next_week_inputs(
-    series: DataFrame, group_by: list[str] | None = None, overrides: dict[str, float] | None = None
-) -> DataFrame:
-    """The model inputs of the week after the last one with revenue, one row per group.
-
-    The next week is appended to the series and takes its lags and means from the same windows as the training rows.
-    Missing inputs take defaults; ``overrides`` replaces any input.
-    """
+def _next_week(series: DataFrame, group_by: list[str] | None, overrides: dict[str, float] | None) -> DataFrame:
+    """Inputs of the coming week and ``_revenue_lag_3``, which only later weeks need."""
     groups = group_by or []
     whole = Window.partitionBy(*groups)
     ends = F.max(F.when(F.col(TARGET) > 0, F.col("week"))).over(whole)
@@ -137,7 +138,9 @@ def next_week_inputs(
         next_week_of_year(F.weekofyear("week")).alias("_next_week"),
     )
     joined = past.drop("_last").unionByName(upcoming, allowMissingColumns=True)
-    rows = weekly_features(joined, groups, drop_incomplete=False).where(F.col("_next_week").isNotNull())
+    third = F.lag(TARGET, 3).over(Window.partitionBy(*groups).orderBy("week"))
+    framed = weekly_features(joined, groups, drop_incomplete=False).withColumn("_third", third)
+    rows = framed.where(F.col("_next_week").isNotNull())
     inputs: dict[str, Column] = {c: F.col(c).cast("double") for c in FEATURES}
     inputs["week_of_year"] = F.col("_next_week").cast("double")
     for name, value in (overrides or {}).items():
@@ -147,19 +150,115 @@ def next_week_inputs(
     for name, ratio in DEFAULT_RATIOS.items():
         inputs[name] = F.coalesce(inputs[name], inputs["revenue_lag_1"] * ratio)
     inputs["revenue_roll_4"] = F.coalesce(inputs["revenue_roll_4"], inputs["revenue_lag_1"])
-    return rows.select(*groups, "week", *[c.alias(n) for n, c in inputs.items()])
+    third = F.coalesce(F.col("_third").cast("double"), (inputs["revenue_lag_2"] + inputs["revenue_lag_4"]) / 2)
+    return rows.select(*groups, "week", *[c.alias(n) for n, c in inputs.items()], third.alias("_revenue_lag_3"))
+
+
+def next_week_inputs(
+    series: DataFrame, group_by: list[str] | None = None, overrides: dict[str, float] | None = None
+) -> DataFrame:
+    """The model inputs of the week after the last one with revenue, one row per group.
+
+    The next week is appended to the series and takes its lags and means from the same windows as the training rows.
+    Missing inputs take defaults; ``overrides`` replaces any input.
+    """
+    return _next_week(series, group_by, overrides).drop("_revenue_lag_3")
+
+
+def _weeks_ahead(first: DataFrame, keys: list[str], predict: Callable[[DataFrame], DataFrame], weeks: int) -> DataFrame:
+    """One row per week to come: each prediction moves into the lags of the week after it.
+
+    ``predict`` adds ``prediction``. The state is one row per group, so weeks are projections of that row and nothing is
+    shuffled between them. The order count and the score stay as last seen.
+    """
+    if weeks < 1:
+        raise ValueError("a forecast covers one week at least")
+    state, steps = first, []
+    for k in range(weeks):
+        steps.append(f"_step{k}")
+        shown = F.struct("week", *FEATURES, F.col("prediction").alias("predicted_revenue"))
+        now = predict(state).select(*first.columns, *steps[:-1], "prediction", shown.alias(steps[-1]))
+        revenue = [F.col(c) for c in ("prediction", "revenue_lag_1", "revenue_lag_2", "_revenue_lag_3")]
+        state = now.withColumns({
+            "week": F.date_add("week", 7), "week_of_year": next_week_of_year(F.col("week_of_year")),
+            "revenue_lag_1": revenue[0], "revenue_lag_2": revenue[1], "_revenue_lag_3": revenue[2],
+            "revenue_lag_4": revenue[3], "revenue_roll_4": (revenue[0] + revenue[1] + revenue[2] + revenue[3]) / 4,
+        }).drop("prediction")
+    return state.select(*keys, F.inline(F.array(*steps)))
 
 
 def sales_forecast(
     forecaster: Forecaster, series: DataFrame, group_by: list[str] | None = None,
-    overrides: dict[str, float] | None = None,
+    overrides: dict[str, float] | None = None, weeks: int = 1,
 ) -> DataFrame:
-    """Predicted revenue of the coming week per group, with the inputs used."""
-    inputs = next_week_inputs(series, group_by, overrides)
-    scored = forecaster.model.transform(inputs)
-    return scored.select(
-        *inputs.columns, F.col("prediction").alias("predicted_revenue"), F.lit(forecaster.name).alias("model_version")
+    """Predicted revenue of the coming weeks per group, with the inputs used. ``overrides`` hold for the first week."""
+    out = _weeks_ahead(_next_week(series, group_by, overrides), group_by or [], forecaster.model.transform, weeks)
+    return out.withColumn("model_version", F.lit(forecaster.name))
+
+
+def _ridge_weights(count: np.ndarray, mean: pd.Series, covariance: pd.Series, alpha: float) -> pd.Series:
+    """Intercept and weights of raw inputs for each row of moments; the last of the means is the target's."""
+    out = []
+    for n, m, c in zip(count, mean, covariance):
+        m = np.asarray(m, float)
+        size = len(m)
+        full = np.zeros((size, size))
+        full[np.triu_indices(size)] = np.asarray(c, float)
+        full = full + np.triu(full, 1).T
+        x, y = full[:-1, :-1], full[:-1, -1]
+        spread = np.sqrt(np.diag(x))
+        scale = np.where(spread > 0, spread, 1.0)
+        weights = np.linalg.solve(n * x / np.outer(scale, scale) + alpha * np.eye(size - 1), n * y / scale) / scale
+        out.append([m[-1] - float(weights @ m[:-1]), *weights.tolist()])
+    return pd.Series(out, dtype=object)
+
+
+def group_ridge(
+    features: DataFrame, group_by: list[str], alpha: float = 1.0, inputs: list[str] = FEATURES, target: str = TARGET
+) -> DataFrame:
+    """(groups, weeks, intercept, weights): a ridge regression for every group, all fitted by one aggregate.
+
+    Means and co-moments add up on the executors without loss for large values; a group then is one small system. Inputs
+    are standardized within the group, constant ones get no weight, and weights are given for raw inputs. Rows with a
+    missing input or target are left out; a group without complete rows has no row.
+    """
+    if alpha <= 0:
+        raise ValueError("the penalty must be above 0")
+    names = [*inputs, target]
+    known = features.dropna(subset=names).select(*group_by, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    moments = known.groupBy(*group_by).agg(
+        F.count("*").alias("weeks"),
+        F.array(*[F.avg(f"_x{i}") for i in range(len(names))]).alias("_mean"),
+        F.array(*[F.covar_pop(f"_x{i}", f"_x{j}") for i, j in pairs]).alias("_covariance"),
+    )
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(n: pd.Series, mean: pd.Series, covariance: pd.Series) -> pd.Series:
+        return _ridge_weights(n.to_numpy(), mean, covariance, alpha)
+
+    solved = moments.select(*group_by, "weeks", solve("weeks", "_mean", "_covariance").alias("_w"))
+    return solved.select(
+        *group_by, "weeks", F.col("_w")[0].alias("intercept"), F.slice("_w", 2, len(inputs)).alias("weights")
+    )
+
+
+def group_forecast(
+    series: DataFrame, group_by: list[str], alpha: float = 1.0, overrides: dict[str, float] | None = None, weeks: int = 1
+) -> DataFrame:
+    """Predicted revenue of the coming weeks, each group by a ridge regression of its own.
+
+    A group without a complete week is predicted by its mean of four weeks.
+    """
+    models = group_ridge(weekly_features(series, group_by), group_by, alpha).drop("weeks")
+    same = [F.col(f"s.{g}").eqNullSafe(F.col(f"m.{g}")) for g in group_by]
+    state = _next_week(series, group_by, overrides).alias("s").join(models.alias("m"), same, "left").select(
+        "s.*", "intercept", "weights"
     )
+    terms = [F.col("weights")[i] * F.col(c) for i, c in enumerate(FEATURES)]
+    line = sum(terms, F.col("intercept"))
+    out = _weeks_ahead(state, group_by, lambda df: df.withColumn("prediction", F.coalesce(line, "revenue_roll_4")), weeks)
+    return out.withColumn("model_version", F.lit(f"group_ridge_{alpha:g}"))
 
 
 def forecast_history(features: DataFrame, model: str, group_by: list[str] | None = None) -> DataFrame:

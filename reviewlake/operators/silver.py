@@ -88,6 +88,17 @@ def silver_users(raw: DataFrame) -> DataFrame:
     )
 
 
+def with_years_active(users: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Add ``years_active``: full years from ``yelping_since`` to ``as_of``, by default the latest join date of the table.
+
+    Unknown dates give null, dates after ``as_of`` 0.
+    """
+    since = F.col("yelping_since").cast("date")
+    end = users.agg(F.max(since)).scalar() if as_of is None else as_of
+    years = F.floor(F.months_between(end, since, roundOff=False) / 12)
+    return users.withColumn("years_active", F.when(since.isNotNull(), F.greatest(years, F.lit(0))).cast("smallint"))
+
+
 def silver_businesses(raw: DataFrame) -> DataFrame:
     listed = F.coalesce(F.col("categories"), F.lit(""))
     return raw.select(

@@ -27,6 +27,7 @@ BASIC_PAIRS = (
 )
 CROSS_METRICS = ("avg_review_score", "review_count")
 LAGS = (0, 1, 2)
+STEPS = {"week": "interval 7 days", "month": "interval 1 month"}
 SIGNIFICANCE = 0.05
 
 # The p-value helper travels with the job, so executors need not have this package installed.
@@ -37,16 +38,25 @@ def _in_order(groups: list[str]) -> WindowSpec:
     return Window.partitionBy(*groups).orderBy("week")
 
 
-def weekly_series(orders: DataFrame, order_reviews: DataFrame, group_by: list[str] | None = None) -> DataFrame:
+def weekly_series(
+    orders: DataFrame, order_reviews: DataFrame, group_by: list[str] | None = None, granularity: str = "week"
+) -> DataFrame:
     """Orders, revenue, items, review count, mean score and score spread for every week of the calendar.
 
     Weeks end on Sunday. Weeks without sales count 0; weeks without reviews carry the last known score forward, and
     leading gaps take the mean. ``group_by`` names columns of both tables (a category, a state) to keep series apart.
+    ``granularity="month"`` gives calendar months, ``week`` then being a month's first day.
     """
-    groups = group_by or []
+    if granularity not in STEPS:
+        raise ValueError(f"unknown granularity {granularity!r}; known ones are {sorted(STEPS)}")
+    groups, step = group_by or [], F.expr(STEPS[granularity])
+
+    def period(c: Column) -> Column:
+        return dates.week_ending_sunday(c) if granularity == "week" else F.trunc(c.cast("date"), "month")
+
     sales = (
         orders.where(F.col("purchase_date").isNotNull())
-        .groupBy(*groups, dates.week_ending_sunday(F.col("purchase_date")).alias("week"))
+        .groupBy(*groups, period(F.col("purchase_date")).alias("week"))
         .agg(
             F.count("order_id").alias("order_count"),
             F.sum("order_total").alias("total_revenue"),
@@ -58,7 +68,7 @@ def weekly_series(orders: DataFrame, order_reviews: DataFrame, group_by: list[st
         moment = dates.parse_datetime(moment)
     reviews = (
         order_reviews.where(moment.isNotNull())
-        .groupBy(*groups, dates.week_ending_sunday(moment).alias("week"))
+        .groupBy(*groups, period(moment).alias("week"))
         .agg(
             F.count("review_id").alias("review_count"),
             F.avg("review_score").alias("avg_review_score"),
@@ -67,11 +77,11 @@ def weekly_series(orders: DataFrame, order_reviews: DataFrame, group_by: list[st
     )
     observed = sales.select(*groups, "week").unionByName(reviews.select(*groups, "week"))
     span = observed.agg(F.min("week").alias("first"), F.max("week").alias("last"))
-    calendar_range = F.sequence("first", "last", F.expr("interval 7 days"))
+    calendar_range = F.sequence("first", "last", step)
     if groups:
         bounds = span.select(F.struct("first", "last")).scalar()
         keys = observed.select(*groups).distinct().withColumn("_s", bounds)
-        calendar = keys.select(*groups, F.explode(F.sequence("_s.first", "_s.last", F.expr("interval 7 days"))).alias("week"))
+        calendar = keys.select(*groups, F.explode(F.sequence("_s.first", "_s.last", step)).alias("week"))
     else:
         calendar = span.select(F.explode(calendar_range).alias("week"))
 

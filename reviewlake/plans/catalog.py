@@ -15,6 +15,7 @@ from reviewlake.operators import (
 )
 from reviewlake.plans.demo_tables import DemoTables
 from reviewlake.sources import inventory
+from reviewlake.streaming import aggregates
 
 Query = Callable[[SparkSession, str], DataFrame]
 FILTER = filters.FilterSpec(
@@ -51,6 +52,11 @@ def silver_users(t):
     return t.users
 
 
+@query
+def user_years_active(t):
+    return silver.with_years_active(t.users).select("user_id", "years_active")
+
+
 @query
 def silver_businesses(t):
     return t.businesses
@@ -129,6 +135,13 @@ def reviews_by_month_year(t):
     return reviews.reviews_by_month(silver.with_review_month(t.order_reviews), year=1997)
 
 
+@query
+def reviews_by_month_merged(t):
+    batches = silver.with_review_month(t.order_reviews).withColumn("batch", F.pmod("order_id", F.lit(7)))
+    merged = aggregates.monthly_reviews(aggregates.review_partials(batches, ["batch"]))
+    return merged.withColumn("std_stars", rnd(F.col("std_stars"), 4))
+
+
 @query
 def column_distribution(t):
     return reviews.column_distribution(t.reviews, "language")
@@ -680,6 +693,12 @@ def weekly_corr_significance(t):
     return weekly.rounded(weekly.with_significance(weekly.weekly_cross_corr(_features(t))), {"r": 4, "p": 4})
 
 
+@query
+def monthly_corr(t):
+    series = weekly.weekly_series(t.orders, t.order_reviews, granularity="month")
+    return weekly.rounded(weekly.weekly_corr(weekly.weekly_features(series)), {"r": 4})
+
+
 @query
 def odd_weeks(t):
     return quality.odd_weeks(weekly.weekly_series(t.orders, t.order_reviews)).select(
@@ -775,6 +794,35 @@ def sales_forecast(t):
     return forecast.sales_forecast(forecaster, series)
 
 
+@query
+def sales_forecast_weeks(t):
+    series = _series(t)
+    forecaster = forecast.train_forecaster(weekly.weekly_features(series))
+    return forecast.sales_forecast(forecaster, series, weeks=8)
+
+
+@query
+def forecast_inputs(t):
+    money = {c: 2 for c in ("revenue_lag_1", "revenue_lag_2", "revenue_lag_4")}
+    return weekly.rounded(forecast.next_week_inputs(_series(t)), {**money, "revenue_roll_4": 4, "avg_review_score": 4})
+
+
+def _by_status(t):
+    status = t.orders.select("order_id", "order_status")
+    return weekly.weekly_series(t.orders, t.order_reviews.join(status, "order_id"), ["order_status"])
+
+
+@query
+def group_forecast_inputs(t):
+    inputs = forecast.next_week_inputs(_by_status(t), ["order_status"])
+    return weekly.rounded(inputs.select("order_status", "week", "revenue_lag_1", "revenue_lag_4"), {"revenue_lag_1": 2, "revenue_lag_4": 2})
+
+
+@query
+def group_sales_forecast(t):
+    return forecast.group_forecast(_by_status(t), ["order_status"], weeks=4)
+
+
 @query
 def forecast_history(t):
     return forecast.forecast_history(_features(t), "ridge_1")

@@ -364,6 +364,8 @@ def oracle_sql() -> dict[str, str]:
     # --- silver tables ---
     out["silver_reviews"] = _sql("SELECT * FROM reviews", "reviews")
     out["silver_users"] = _sql("SELECT * FROM users", "users")
+    out["user_years_active"] = _sql(
+        "SELECT user_id, CAST(datesub('year', yelping_since, (SELECT max(yelping_since) FROM users)) AS SMALLINT) AS years_active FROM users", "users")
     out["silver_businesses"] = _sql("SELECT * FROM businesses", "businesses")
     out["silver_reviews_undated"] = _sql("SELECT * FROM undated", "undated")
     out["silver_orders"] = _sql(
@@ -401,6 +403,8 @@ def oracle_sql() -> dict[str, str]:
     )
     out["reviews_by_month"] = _sql(f"{monthly} GROUP BY 1, 2", "order_reviews")
     out["reviews_by_month_year"] = _sql(f"{monthly} WHERE year = 1997 GROUP BY 1, 2", "order_reviews")
+    spread = monthly.replace(" FROM order_reviews", ", round(stddev_samp(review_score), 4) AS std_stars FROM order_reviews")
+    out["reviews_by_month_merged"] = _sql(f"{spread} GROUP BY 1, 2", "order_reviews")
     out["column_distribution"] = _sql(
         "SELECT language, count(*) AS count, round(count(*) / (SELECT count(*) FROM reviews) * 100, 2) AS percentage, "
         "(SELECT count(*) FROM (SELECT DISTINCT language FROM reviews) d) AS unique_values, (SELECT count(*) FROM reviews) AS total_rows "
@@ -760,6 +764,19 @@ def oracle_sql() -> dict[str, str]:
     out["weekly_corr"] = _sql(" UNION ALL ".join(
         _COUNT_CORR.format(x=x, y=y, r=_corr(x, y), t="weekly_frame") for x, y in pairs), "weekly_frame")
     seven = ["total_revenue", "order_count", "avg_review_score", "review_count", "revenue_lag_1", "revenue_roll_4", "week_of_year"]
+    out["monthly_corr"] = _sql(
+        " UNION ALL ".join(_COUNT_CORR.format(x=x, y=y, r=_corr(x, y), t="monthly_frame") for x, y in pairs), "shop_orders", "order_reviews",
+        monthly_frame="""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY m) AS k FROM (
+            SELECT c.m, coalesce(order_count, 0) AS order_count, coalesce(total_revenue, 0) AS total_revenue, coalesce(n, 0) AS review_count,
+                   coalesce(a, avg(a) OVER ()) AS avg_review_score
+            FROM (SELECT c.m, o.order_count, o.total_revenue, r.n, last_value(r.score IGNORE NULLS) OVER (ORDER BY c.m) AS a
+                  FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS m
+                        FROM (SELECT min(m) AS lo, max(m) AS hi FROM (SELECT date_trunc('month', purchase_date) AS m FROM shop_orders
+                              UNION ALL SELECT date_trunc('month', review_date) FROM order_reviews) x) b) c
+                  LEFT JOIN (SELECT CAST(date_trunc('month', purchase_date) AS DATE) AS om, count(*) AS order_count, sum(order_total) AS total_revenue
+                             FROM shop_orders GROUP BY 1) o ON o.om = c.m
+                  LEFT JOIN (SELECT CAST(date_trunc('month', review_date) AS DATE) AS rm, count(*) AS n, avg(review_score) AS score
+                             FROM order_reviews GROUP BY 1) r ON r.rm = c.m) c) d) e WHERE k > 4""")
     out["weekly_corr_matrix"] = _sql(" UNION ALL ".join(
         f"SELECT '{x}' AS x, '{y}' AS y, {_corr(x, y)} AS r FROM weekly_frame" for x in seven for y in seven), "weekly_frame")
     out["weekly_cross_corr"] = _sql(
@@ -782,6 +799,19 @@ def oracle_sql() -> dict[str, str]:
         + " WHEN n % 2 = 1 AND k <= (n - 5) / 2 THEN " + odd + " END), 0) AS s "
         "FROM c, (SELECT unnest(range((SELECT max(n) FROM c))) AS k) i GROUP BY x, y, n, r) t) q",
         "weekly_frame", led=led, c=pairs.replace(" FROM led", " FROM led "))
+    out["forecast_inputs"] = _sql(
+        """SELECT CAST(max(week) + 7 AS DATE) AS week, round(max(total_revenue) FILTER (k = 1), 2) AS revenue_lag_1,
+                  round(max(total_revenue) FILTER (k = 2), 2) AS revenue_lag_2, round(max(total_revenue) FILTER (k = 4), 2) AS revenue_lag_4,
+                  max(order_count) FILTER (k = 1)::DOUBLE AS orders_lag_1, round(avg(total_revenue) FILTER (k <= 4), 4) AS revenue_roll_4,
+                  round(max(avg_review_score) FILTER (k = 1), 4) AS avg_review_score, (weekofyear(max(week)) % 52 + 1)::DOUBLE AS week_of_year
+           FROM (SELECT *, row_number() OVER (ORDER BY week DESC) AS k FROM weekly
+                 WHERE week <= (SELECT max(week) FROM weekly WHERE total_revenue > 0)) s""", "weekly")
+    out["group_forecast_inputs"] = _sql(
+        """SELECT s.order_status, CAST(last + 7 AS DATE) AS week,
+                  round(sum(order_total) FILTER (w = last), 2) AS revenue_lag_1, round(coalesce(sum(order_total) FILTER (w = last - 21), 0), 2) AS revenue_lag_4
+           FROM (SELECT *, max(w) OVER (PARTITION BY order_status) AS last FROM (
+                 SELECT order_status, order_total, CAST(date_trunc('week', purchase_date) AS DATE) + 6 AS w FROM shop_orders WHERE order_total > 0) x) s
+           GROUP BY 1, 2""", "shop_orders")
     out["odd_weeks"] = _sql(
         f"SELECT week, order_count, review_count, round(avg_review_score, 4) AS avg_review_score FROM ({_weekly.replace('__ORDERS__', 'shop_orders')}) w "
         "WHERE order_count = 0 AND avg_review_score IS NOT NULL", "order_reviews", "shop_orders")

@@ -119,7 +119,7 @@ class ReviewLake:
         return sinks.write_table(df, self.path("gold", schemas.GOLD["sales"]), overwrite)
 
     def build_user_features(self, overwrite: bool = False) -> str:
-        df = users.user_influence(self.silver("users"))
+        df = users.user_influence(silver.with_years_active(self.silver("users")))
         return sinks.write_table(df, self.path("gold", schemas.GOLD["users"]), overwrite)
 
     # --- questions ----------------------------------------------------------------------------
@@ -168,19 +168,19 @@ class ReviewLake:
             "correlation": sales.score_value_corr(orders, order_reviews),
         }
 
-    def weekly_series(self) -> DataFrame:
-        return weekly.weekly_series(self.silver("orders"), self.silver("order_reviews"))
+    def weekly_series(self, granularity: str = "week") -> DataFrame:
+        return weekly.weekly_series(self.silver("orders"), self.silver("order_reviews"), granularity=granularity)
 
-    def get_reviews_sales_correlation(self) -> dict[str, DataFrame]:
-        """Same-week and lagged weekly correlations with significance."""
-        features = weekly.weekly_features(self.weekly_series())
+    def get_reviews_sales_correlation(self, granularity: str = "week") -> dict[str, DataFrame]:
+        """Correlations of the same week and of later ones with significance, or of months."""
+        features = weekly.weekly_features(self.weekly_series(granularity))
         return {
             "basic": weekly.with_significance(weekly.weekly_corr(features)),
             "cross": weekly.with_significance(weekly.weekly_cross_corr(features)),
         }
 
-    def get_sentiment_sales_correlation(self) -> DataFrame:
-        features = weekly.weekly_features(self.weekly_series())
+    def get_sentiment_sales_correlation(self, granularity: str = "week") -> DataFrame:
+        features = weekly.weekly_features(self.weekly_series(granularity))
         return weekly.with_significance(weekly.weekly_cross_corr(features, metrics=("avg_review_score",)))
 
     def train_sales_model(self) -> str:
@@ -189,10 +189,10 @@ class ReviewLake:
         forecast.train_forecaster(weekly.weekly_features(self.weekly_series())).save(path)
         return path
 
-    def predict_weekly_sales(self, **overrides: float) -> DataFrame:
-        """Next week's revenue from the stored model; keyword arguments replace inputs."""
+    def predict_weekly_sales(self, weeks: int = 1, **overrides: float) -> DataFrame:
+        """Revenue of the coming weeks from the stored model; keyword arguments replace inputs of the first one."""
         forecaster = forecast.Forecaster.load(self.spark, self.path("models", "sales_forecast"))
-        return forecast.sales_forecast(forecaster, self.weekly_series(), overrides=overrides)
+        return forecast.sales_forecast(forecaster, self.weekly_series(), overrides=overrides, weeks=weeks)
 
     def get_prediction_model_info(self) -> DataFrame:
         forecaster = forecast.Forecaster.load(self.spark, self.path("models", "sales_forecast"))

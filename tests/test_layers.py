@@ -184,3 +184,115 @@ def test_building_silver_keeps_every_row(spark, folder):
     assert lake.silver("reviews").count() == 100_500
     assert lake.get_column_stats("reviews", "stars").first()["row_count"] == 100_500
     assert {r["exists"] for r in lake.get_dataset_status("reviews").collect()} == {True, False}
+
+
+def test_csv_encodings_are_found_per_file(spark, folder):
+    head = "review_id,product_id,reviewer_id,stars,review_body,review_title,language,product_category\n"
+    body = {
+        "a": (head + '1,p,u,3,"niño, ""así""\nsigue",ï»¿,es,toy\n').encode("utf-8"),
+        "b": (head + "2,p,u,3,niño,Ã©,es,toy\n3,p,u,4,,plain,es,toy\n").encode("latin1"),
+        "c": b"\xef\xbb\xbf" + (head + "4,p,u,5,日本 €,,es,toy\n").encode("utf-8"),
+    }
+    for name, data in body.items():
+        with open(f"{folder}/{name}.csv", "wb") as out:
+            out.write(data)
+    df = readers.read_undated_reviews(spark, f"{folder}/*.csv")
+    rows = {r["review_id"]: r for r in df.collect()}
+    assert rows["1"]["review_body"] == 'niño, "así"\nsigue' and rows["1"]["review_title"] == "ï»¿"
+    assert rows["2"]["review_body"] == "niño" and rows["2"]["review_title"] == "Ã©"
+    assert rows["3"]["review_body"] is None and rows["4"]["review_body"] == "日本 €" and len(rows) == 4
+    assert readers.read_undated_reviews(spark, f"{folder}/b.csv", encoding="ISO-8859-1").count() == 2
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_ridge_per_group_equals_its_closed_form(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for group, offset in (("a", 0.0), ("b", 1e7), (None, -5.0)):
+        x = rng.normal(size=(40, 3)) * [3, 10, 1] + [1, 5, offset]
+        x[:, 1] = 7.0 if group == "a" else x[:, 1]
+        y = 4 * x[:, 0] - 2 * x[:, 1] + rng.normal(size=40) + offset
+        spread = x.std(0)
+        z = (x - x.mean(0)) / np.where(spread > 1e-12, spread, 1.0)
+        w = np.linalg.solve(z.T @ z + 2.0 * np.eye(3), z.T @ (y - y.mean())) / np.where(spread > 1e-12, spread, 1.0)
+        want[group] = [y.mean() - w @ x.mean(0), *w]
+        rows += [(group, *map(float, r), float(t)) for r, t in zip(x, y)]
+        rows += [(group, None, 1.0, 1.0, 1.0), (group, 1.0, 1.0, 1.0, None)]
+    rows.append(("empty", None, None, None, None))
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, y double").repartition(5)
+    found = forecast.group_ridge(df, ["g"], 2.0, ["a", "b", "c"], "y").collect()
+    assert {r["g"] for r in found} == set(want) and all(r["weeks"] == 40 for r in found)
+    for r in found:
+        assert np.allclose([r["intercept"], *r["weights"]], want[r["g"]], rtol=1e-6, atol=1e-6)
+    with pytest.raises(ValueError):
+        forecast.group_ridge(df, ["g"], 0.0, ["a"], "y")
+
+
+def test_weeks_ahead_follow_from_one_another(spark):
+    weeks = [(g, f"2024-{1 + k // 28:02d}-{1 + k % 28:02d}") for g in ("a", "b") for k in range(0, 84, 7)]
+    rows = [(g, day, 10 + k, 100.0 + 13.0 * k * (1 + (g == "b")) + 40 * (k % 3), 3, 4.0 + (k % 5) / 10) for k, (g, day) in enumerate(weeks)]
+    rows += [("short", "2024-01-01", 2, 50.0, 1, 4.5)]
+    series = spark.createDataFrame(
+        rows, "g string, week string, order_count long, total_revenue double, review_count long, avg_review_score double"
+    ).withColumn("week", F.col("week").cast("date"))
+    models = {r["g"]: [r["intercept"], *r["weights"]] for r in forecast.group_ridge(weekly.weekly_features(series, ["g"]), ["g"]).collect()}
+    found = forecast.group_forecast(series, ["g"], weeks=6).orderBy("g", "week").collect()
+    assert len(found) == 18 and set(models) == {"a", "b"}
+    for g in ("a", "b", "short"):
+        own = [r for r in found if r["g"] == g]
+        past = [r[3] for r in rows if r[0] == g]
+        assert [(r["week"] - own[0]["week"]).days for r in own] == [0, 7, 14, 21, 28, 35]
+        for r in own:
+            if len(past) >= 4:
+                assert np.allclose([r["revenue_lag_1"], r["revenue_lag_2"], r["revenue_lag_4"]], [past[-1], past[-2], past[-4]])
+                assert np.isclose(r["revenue_roll_4"], np.mean(past[-4:]))
+            want = r["revenue_roll_4"] if g == "short" else models[g][0] + sum(w * r[c] for w, c in zip(models[g][1:], forecast.FEATURES))
+            assert np.isclose(r["predicted_revenue"], want)
+            past.append(r["predicted_revenue"])
+    first = forecast.group_forecast(series, ["g"]).orderBy("g").collect()
+    assert [r["predicted_revenue"] for r in first] == [r["predicted_revenue"] for r in found if r["week"] in {f["week"] for f in first if f["g"] == r["g"]}]
+    assert forecast.group_forecast(series.limit(0), ["g"], weeks=2).collect() == []
+    with pytest.raises(ValueError):
+        forecast.group_forecast(series, ["g"], weeks=0)
+
+
+def test_monthly_table_after_batches_equals_the_recount(spark, folder):
+    from reviewlake.operators import reviews as ops, silver
+    from reviewlake.streaming.aggregates import MonthlyReviews
+
+    def raw(k):
+        row = json.loads(review(k))
+        row["date"] = None if k == 7 else f"2020-{1 + k % 3:02d}-05 00:00:00"
+        return json.dumps({**row, "stars": None if k == 11 else float(1 + k * 7 % 5)})
+
+    table = MonthlyReviews(spark, f"{folder}/agg")
+    assert table.table().collect() == [] and table.merge() == -1
+    for batch in range(3):
+        write(f"{folder}/raw/part{batch}.json", [raw(k) for k in range(batch * 20, batch * 20 + 20)])
+        table.ingest(f"{folder}/raw", f"{folder}/check").awaitTermination()
+        if batch == 1:
+            assert table.merge() == 1 and table.merge() == 1
+    everything = silver.silver_reviews(readers.read_reviews(spark, f"{folder}/raw"))
+    shown = lambda df: [tuple(r) for r in df.collect()]
+    full = shown(ops.reviews_by_month(everything))
+    assert sum(r[2] for r in full) == 60
+    assert shown(table.table().drop("std_stars")) == full
+    spreads = {(r["year"], r["month"]): r["s"] for r in everything.groupBy("year", "month").agg(F.stddev_samp("stars").alias("s")).collect()}
+    assert all(r["std_stars"] == pytest.approx(spreads[r["year"], r["month"]]) for r in table.table().collect())
+    part = silver.silver_reviews(readers.read_reviews(spark, f"{folder}/raw/part2.json"))
+    for batch in (0, 1, 2):  # replayed batches, merged or not
+        table.add(part if batch == 2 else part.limit(3), batch)
+    assert shown(table.table().drop("std_stars")) == full
+    assert table.merge() == 2 and shown(table.table().drop("std_stars")) == full
+
+
+def test_years_active_and_months(spark, tables):
+    from reviewlake.operators import silver
+
+    df = spark.createDataFrame([("a", "2012-02-29"), ("b", "2020-02-28"), ("c", None), ("d", "2021-01-01")], "user_id string, yelping_since string")
+    found = {r["user_id"]: r["years_active"] for r in silver.with_years_active(df, F.lit("2020-02-28").cast("date")).collect()}
+    assert found == {"a": 7, "b": 0, "c": None, "d": 0}
+    assert silver.with_years_active(df).where("user_id = 'a'").first()["years_active"] == 8
+    with pytest.raises(ValueError):
+        weekly.weekly_series(tables.orders, tables.order_reviews, granularity="day")
