@@ -33,6 +33,12 @@ def _valid(embedding: str) -> F.Column:
     return F.coalesce(fine & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def _unit(vec: np.ndarray) -> np.ndarray:
+    """Vectors of length one. Scaled by their largest component first, so that no square overflows or vanishes."""
+    vec = vec / np.abs(vec).max(axis=1, keepdims=True)
+    return vec / np.linalg.norm(vec, axis=1, keepdims=True)
+
+
 def principal_directions(classes: DataFrame, epsilon: float) -> np.ndarray:
     """Columns are leading directions of a bounded sample of unit vectors of the commonest length.
 
@@ -46,14 +52,13 @@ def principal_directions(classes: DataFrame, epsilon: float) -> np.ndarray:
     rows = classes.where((F.col("dim") == dim) & (share < min(1.0, SAMPLE / n))).orderBy("rep").limit(2 * SAMPLE).collect()
     if not rows:
         return np.eye(dim)[:, :DIMENSIONS]
-    x = np.array([r["vec"] for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(np.array([r["vec"] for r in rows], float))
     return np.linalg.svd(x, full_matrices=True)[2][:DIMENSIONS].T
 
 
 def _project(vec: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """Leading coordinates of unit vectors; those of another length than the directions give their first components."""
-    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    unit = _unit(vec)
     if unit.shape[1] == len(directions):
         low = unit @ directions
     else:
@@ -79,9 +84,9 @@ def interval_links(low: np.ndarray, unit: np.ndarray, rows: slice, columns: slic
     return [found for r in halve(rows) for c in halve(columns) for found in interval_links(low, unit, r, c, epsilon, least)]
 
 
-def _meet(side: np.ndarray, rep: list, copies: np.ndarray, low: np.ndarray, vec: np.ndarray, epsilon: float, least: float) -> list[tuple]:
-    """Of two intervals (or one with itself, if all sides are 0): (rep, vectors linked, root or None) for linked ones."""
-    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+def _meet(side: np.ndarray, node: list, copies: np.ndarray, low: np.ndarray, vec: np.ndarray, epsilon: float, least: float) -> list[tuple]:
+    """Of two intervals (or one with itself, if all sides are 0): (node, vectors linked, root or None) for linked ones."""
+    unit = _unit(vec)
     middle, n = int((side == 0).sum()), len(side)
     own = middle == n
     found = interval_links(low, unit, slice(0, middle), slice(0, n) if own else slice(middle, n), epsilon, least)
@@ -94,7 +99,7 @@ def _meet(side: np.ndarray, rep: list, copies: np.ndarray, low: np.ndarray, vec:
     count = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
     child, root = spanning_links(n, a, b)
     above = dict(zip(child.tolist(), root.tolist(), strict=True))
-    return [(rep[k], int(count[k]), rep[above[k]] if k in above else None) for k in np.flatnonzero(count).tolist()]
+    return [(node[k], int(count[k]), node[above[k]] if k in above else None) for k in np.flatnonzero(count).tolist()]
 
 
 def near_vectors(
@@ -105,13 +110,17 @@ def near_vectors(
     Vectors of one label and one length are linked if their cosine in double precision is at least `least_cosine`. Null and
     zero vectors, vectors with null or non-finite components and those with a null label link with nothing. n_links counts
     the other vectors linked directly, copies included; component_id is the smallest id reachable; kept if it's the own id.
-    Equal vectors are one class with a count, so copies are never paired. Rows may repeat; a null id has no component.
+    Equal vectors are one class with a count, so copies are never paired. Rows may repeat, and an id may stand for different
+    vectors: each has its own links. Rows with a null id are linked and counted like others; they take the smallest id they
+    reach, null if there is none, and are never kept.
     """
     epsilon = float(np.sqrt(2 - 2 * least_cosine))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(embedding_col).alias("vec"), F.col(label_col).alias("label"))
     good = _valid("vec") & F.col("label").isNotNull()
     classes = rows.where(good).groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = save(classes.withColumn("dim", F.size("vec")))
+    by_rep = [F.col("rep").asc_nulls_last(), F.xxhash64("vec")]
+    ordered = classes.repartitionByRange(*by_rep).sortWithinPartitions(*by_rep)  # so nodes are ordered as smallest ids are
+    classes = save(ordered.select("label", "vec", "rep", "copies", F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("node")))
     directions = principal_directions(classes, epsilon)
     k, id_type = directions.shape[1], vectors.schema[id_col].dataType
 
@@ -127,7 +136,7 @@ def near_vectors(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(low), pa.list_(pa.float64())), pa.array(key, pa.string())], [*batch.schema.names, "low", "key"])
 
     schema = T.StructType([*classes.schema.fields, T.StructField("low", T.ArrayType(T.DoubleType())), T.StructField("key", T.StringType())])
-    ordered = classes.mapInArrow(located, schema).repartitionByRange("label", "dim", "key", "rep")
+    ordered = classes.mapInArrow(located, schema).repartitionByRange("label", "dim", "key", "node")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number, filled = None, TaskContext.get().partitionId() << 32, 0
@@ -141,7 +150,7 @@ def near_vectors(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "interval"])
 
     sequence = save(
-        ordered.sortWithinPartitions("label", "dim", "key", "rep")
+        ordered.sortWithinPartitions("label", "dim", "key", "node")
         .mapInArrow(numbered, T.StructType([*schema.fields, T.StructField("interval", T.LongType())])).drop("key")
     )
     box = [f(F.col("low")[i]).alias(f"{name}{i}") for i in range(k) for name, f in (("from", F.min), ("to", F.max))]
@@ -154,15 +163,16 @@ def near_vectors(
     pairs = left.join(right, ["label", "dim", "cell"]).where(near)
     pairs = pairs.select(F.least("x.interval", "y.interval").alias("i"), F.greatest("x.interval", "y.interval").alias("j")).distinct()
     dealt = pairs.select(F.col("i").alias("interval"), "i", "j").unionByName(pairs.where("i != j").select(F.col("j").alias("interval"), "i", "j"))
-    meetings = sequence.join(dealt, "interval").select("i", "j", (F.col("interval") != F.col("i")).cast("int").alias("side"), "rep", "copies", "low", "vec")
+    meetings = sequence.join(dealt, "interval").select("i", "j", (F.col("interval") != F.col("i")).cast("int").alias("side"), "node", "rep", "copies", "low", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows: list[tuple]) -> pa.RecordBatch:
-            _, _, side, rep, copies, low, vec = zip(*rows, strict=True)
-            found = _meet(np.array(side), list(rep), np.array(copies), np.array(low), np.array(vec, float), epsilon, least_cosine)
-            columns = list(zip(*found, strict=True)) if found else [(), (), ()]
-            kind = batch.schema.field("rep").type
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), kind), strict=True)], ["rep", "n", "root"])
+            _, _, side, node, rep, copies, low, vec = zip(*rows, strict=True)
+            found = _meet(np.array(side), list(zip(node, rep, strict=True)), np.array(copies), np.array(low), np.array(vec, float), epsilon, least_cosine)
+            kind, whole = batch.schema.field("rep").type, pa.int64()
+            columns = [[a[0] for a, _, _ in found], [a[1] for a, _, _ in found], [n for _, n, _ in found]]
+            columns += [[b and b[k] for _, _, b in found] for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (whole, kind, whole, whole, kind), strict=True)], out.names)
 
         held: list[tuple] = []
         for batch in batches:
@@ -174,11 +184,17 @@ def near_vectors(
         if held:
             yield work(held)
 
-    out = T.StructType([T.StructField("rep", id_type), T.StructField("n", T.LongType()), T.StructField("root", id_type)])
+    out = T.StructType([
+        T.StructField("node", T.LongType()), T.StructField("rep", id_type), T.StructField("n", T.LongType()),
+        T.StructField("root", T.LongType()), T.StructField("root_rep", id_type),
+    ])
     linked = save(meetings.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(run, out))
-    counts = linked.groupBy("rep").agg(F.sum("n").alias("n"))
-    roots = components(linked.where("root is not null"), "rep", "root")
-    known = classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(
+    counts = linked.groupBy("node").agg(F.sum("n").alias("n"))
+    edges = linked.where("root is not null").select(
+        F.struct("node", "rep").alias("a"), F.struct(F.col("root").alias("node"), F.col("root_rep").alias("rep")).alias("b")
+    )
+    roots = components(edges).select(F.col("node.node").alias("node"), F.col("root.rep").alias("root"))
+    known = classes.join(counts, "node", "left").join(roots, "node", "left").select(
         F.col("label").alias("l"), F.col("vec").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("root", "rep").alias("component"),
     )

@@ -55,3 +55,13 @@ def test_components_of_long_paths_and_loops(spark):
     found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in found} == {**{k: 100 for k in range(100, 161)}, 2: 2, 7: 2, 9: 2}
     assert len(found) == 64
+
+
+def test_null_and_repeated_ids_and_extreme_sizes(spark):
+    a, b, c = [1.0, 0.0, 0.01], [0.0, 1.0, 0.0], [1.0, 0.05, 0.0]
+    times = lambda v, x: [e * x for e in v]
+    rows = [(None, a), (5, c), (3, times(a, 2)), (3, b), (8, times(b, 3)), (9, times(b, 1e200)), (10, times(b, 1e-200)), (None, [0.0, 0.0, 1.0]), (None, None), (4, [0.0, -1.0, 0.0]), (5, c)]
+    table = spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], "vec_id long, embedding array<double>, label int, node string").repartition(3)
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in gridjoin.near_vectors(table).collect()), key=repr)
+    want = [(None, 3, 3, False), (5, 3, 3, False), (5, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (8, 3, 3, False), (9, 3, 3, False), (10, 3, 3, False), (None, 0, None, False), (None, 0, None, False), (4, 0, 4, True)]
+    assert found == sorted(want, key=repr)
