@@ -28,6 +28,8 @@ BITS, PROBES, FEATURES = 2048, 5, 160
 #: Windows of lower entropy than this, of 4 bits at most, are runs of a few bytes and no features unless a text has no others.
 LEAST_ENTROPY = 1.0
 CHUNK_BYTES = 1_000_000
+#: Words of eight bytes that a comparison of two digests holds at a time.
+PAIR_WORDS = 1 << 19
 _UNIT = 64
 #: c log2 c for c equal bytes of a window, in fixed point; a window's sum over its bytes is WINDOW * _UNIT * (4 - entropy).
 _TERM = np.array([0, *(round(c * np.log2(c) * _UNIT) for c in range(1, WINDOW + 1))], np.int64)
@@ -153,14 +155,18 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         return float(len(a[1]) == len(b[1]))
     if a[1].sum() > b[1].sum():
         a, b = b, a
-    one, other = a[0][:, None, :], b[0][None, :, :]
-    common = np.bitwise_count(one & other).sum(axis=2)
-    x, y = np.bitwise_count(one).sum(axis=2), np.bitwise_count(other).sum(axis=2)
-    chance = x * y / BITS
-    spread = np.sqrt(chance * (1 - np.maximum(x, y) / BITS))
-    least = np.minimum(x, y)
-    score = np.where((common - chance > 2 * spread) | (common == np.maximum(x, y)), (common - chance) / (least - chance), 0.0)
-    return float(min(1.0, (score.max(axis=1) * a[1]).sum() / a[1].sum()))
+    y = np.bitwise_count(b[0]).sum(axis=1, dtype=np.int64)[None, :]
+    best, step = np.zeros(len(a[0])), max(1, PAIR_WORDS // b[0].size)
+    for at in range(0, len(best), step):  # some filters against all of the other digest at a time
+        one = a[0][at : at + step, None, :]
+        common = np.bitwise_count(one & b[0][None, :, :]).sum(axis=2, dtype=np.int64)
+        x = np.bitwise_count(one).sum(axis=2, dtype=np.int64)
+        chance = x * y / BITS
+        spread = np.sqrt(chance * (1 - np.maximum(x, y) / BITS))
+        least = np.minimum(x, y)
+        score = np.where((common - chance > 2 * spread) | (common == np.maximum(x, y)), (common - chance) / (least - chance), 0.0)
+        best[at : at + step] = score.max(axis=1)
+    return float(min(1.0, (best * a[1]).sum() / a[1].sum()))
 
 
 def encoded(digest: tuple[np.ndarray, np.ndarray]) -> str:

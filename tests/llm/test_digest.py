@@ -64,3 +64,23 @@ def test_odd_tables(spark, no_docs):
     assert digest.edited_fingerprints(one, digest.rarity(one)).count() == 1
     same = spark.createDataFrame([(1, "abcd efgh"), (1, "abcd efgh"), (2, None), (None, "z")], "doc_id long, text string")
     assert digest.edited_fingerprints(same, digest.rarity(same)).count() == 4
+
+
+def test_likeness_in_blocks_equals_one_block(monkeypatch):
+    rng = np.random.default_rng(5)
+    make = lambda n: (np.packbits(rng.random((n, digest.BITS)) < rng.random((n, 1)) * 0.6, axis=1).view(np.uint64), rng.integers(1, 200, n))
+    some = [make(n) for n in (1, 2, 7, 40)]
+    some.append((some[3][0][5:30].copy(), some[3][1][5:30]))
+    whole = [digest.likeness(a, b) for a in some for b in some]
+    monkeypatch.setattr(digest, "PAIR_WORDS", 100)
+    assert [digest.likeness(a, b) for a in some for b in some] == whole and max(whole) == 1.0
+
+
+def test_likeness_of_long_texts_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    a, b = ((rng.integers(0, 1 << 63, (6000, digest.BITS // 64), np.uint64), np.full(6000, 100)) for _ in range(2))
+    tracemalloc.start()
+    digest.likeness(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 64e6
