@@ -5,6 +5,10 @@ line before. A line's ratio of text to tags is weighed by where it stands: nothi
 like, more inside an article. The ratios are smoothed with a Gaussian; lines above the page's own threshold, the standard
 deviation of the smoothed ratios, form clusters, and so does the highest line. The page's regions that hold a cluster are its content, and all their
 lines stay, so a short paragraph between long ones is not lost.
+
+Articles come before other regions only if they hold most of the text. Forms, articles with a mark and elements whose mark is
+but a part of a compound name (`no-sidebar`) are doubtful: they count as content if they hold most of the text around them and
+no article stands beside them.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ BLOCKS = frozenset(
 )
 #: Elements whose text is never content.
 OUTSIDE = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input menu nav noscript object option script select style "
+    "aside button canvas datalist dialog footer head iframe input menu nav noscript object option script select style "
     "svg template textarea title".split()
 )
 REGIONS = frozenset("article main section div body td".split())
@@ -43,31 +47,41 @@ ARTICLE_WEIGHT, SMOOTHING = 4.0, 1.0
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """2: no content. 1: doubtful. 0: no mark. A name all of marks (`nav`, `cookie-notice`) is sure, one with a mark is not."""
+    found = int(tag == "form")
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_PARTS.findall(value.lower())):
-            return tag not in ("html", "body", "article", "main")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and value and tag not in ("html", "body"):
+            for token in value.lower().split():
+                parts = _PARTS.findall(token)
+                if parts and MARKS.issuperset(parts):
+                    found = 1 if tag in ("article", "main") else 2
+                elif not MARKS.isdisjoint(parts):
+                    found = max(found, 1)
+                if found == 2:
+                    return 2
+    return found
 
 
 class _Lines(HTMLParser):
-    """Collects lines (text, tags, region, weight) of one page."""
+    """Collects lines (text, tags, region, weight, doubtful element) of one page, and each doubtful element's outer one."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, float]] = []
+        self.lines: list[tuple[str, int, int, float, int]] = []
+        self.outer: list[int] = [0]  # element 0 is the page
         self._text: list[str] = []
         self._tags = 0
-        self._stack: list[tuple[str, int, float]] = [("", 0, 1.0)]  # tag, region, weight
+        self._stack: list[tuple[str, int, float, int]] = [("", 0, 1.0, 0)]  # tag, region, weight, doubtful element
         self._regions = 0
 
     def _flush(self) -> None:
         if self._text:
             if text := " ".join("".join(self._text).split()):
-                _, region, weight = self._stack[-1]
-                self.lines.append((text, self._tags, region, weight))
+                _, region, weight, doubt = self._stack[-1]
+                self.lines.append((text, self._tags, region, weight, doubt))
                 self._tags = 0
             self._text = []
 
@@ -80,18 +94,23 @@ class _Lines(HTMLParser):
         self._tags += 1
         if tag in VOID:
             return
-        _, region, weight = self._stack[-1]
-        if tag in OUTSIDE or (tag == "header" and weight <= 1) or _marked(tag, attrs):
+        _, region, weight, doubt = self._stack[-1]
+        mark = _marked(tag, attrs)
+        if mark == 1 and weight:
+            self._flush()
+            self.outer.append(doubt)
+            doubt = len(self.outer) - 1
+        if tag in OUTSIDE or (tag == "header" and weight <= 1) or mark == 2:
             if tag not in BLOCKS and weight:
                 self._flush()
             weight = 0.0
         elif tag in ("article", "main"):
             self._regions += 1
             region, weight = -self._regions if weight else region, weight and ARTICLE_WEIGHT
-        elif tag in REGIONS and region >= 0:
+        elif (tag in REGIONS or mark == 1) and region >= 0:
             self._regions += 1
             region = self._regions
-        self._stack.append((tag, region, weight))
+        self._stack.append((tag, region, weight, doubt))
 
     def _end_implied(self, tag: str) -> None:
         """A block ends an open paragraph, an item ends the item before."""
@@ -106,7 +125,7 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
-                if tag in BLOCKS or self._stack[k][2] != self._stack[k - 1][2]:
+                if tag in BLOCKS or self._stack[k][2:] != self._stack[k - 1][2:]:
                     self._flush()
                 del self._stack[k:]
                 break
@@ -131,23 +150,58 @@ def smoothed(values: np.ndarray, sigma: float = SMOOTHING) -> np.ndarray:
     return full(values) / full(np.ones(len(values)))
 
 
+def _without_doubt(lines: list[tuple[str, int, int, float, int]], outer: list[int]) -> list[tuple[str, int, int, float]]:
+    """Lines (text, tags, region, weight); those of doubtful elements that are no content have weight 0."""
+    if len(outer) == 1:
+        return [line[:4] for line in lines]
+    size, article = [0] * len(outer), [0] * len(outer)
+    for text, _, region, weight, k in lines:
+        if weight:
+            size[k] += len(text)
+            article[k] += len(text) if region < 0 else 0
+    for k in range(len(outer) - 1, 0, -1):  # an outer element comes before those in it
+        size[outer[k]] += size[k]
+        article[outer[k]] += article[k]
+    fine = [True] * len(outer)
+    for k in range(1, len(outer)):
+        own = 2 * size[k] > size[outer[k]] and article[outer[k]] == article[k]
+        fine[k] = fine[outer[k]] and own
+    return [(text, tags, region, weight if fine[k] else 0.0) for text, tags, region, weight, k in lines]
+
+
+def _mostly_articles(lines: list[tuple[str, int, int, float]]) -> bool:
+    """Whether articles hold at least half of the text in lines whose plain ratio of text to tags is high."""
+    weight = np.array([float(w > 0) for *_, w in lines])
+    size = np.array([len(text) for text, *_ in lines])
+    ratio = size / np.maximum(1, [tags for _, tags, _, _ in lines]) * weight
+    high = (weight > 0) & (smoothed(ratio) >= smoothed(ratio).std()) & (ratio >= ratio.std())
+    article = np.array([r < 0 for _, _, r, _ in lines])
+    return 2 * size[high & article].sum() >= size[high].sum()
+
+
 def main_text(html: str) -> str:
     """Blocks of a page's content joined by newlines; white space in a block is one space. No content gives ""."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    if not any(weight for *_, weight in parser.lines):
+    lines = _without_doubt(parser.lines, parser.outer)
+    if not any(weight for *_, weight in lines):
         return ""
-    ratio = np.array([len(text) / max(1, tags) * weight for text, tags, _, weight in parser.lines])
-    weight = np.array([w for *_, w in parser.lines])
+    size = np.array([len(text) for text, *_ in lines])
+    region = np.array([r for _, _, r, _ in lines])
+    weight = np.array([w for *_, w in lines])
+    in_article = region < 0
+    if size[in_article & (weight > 0)].sum() < size[~in_article & (weight > 0)].sum() and not _mostly_articles(lines):
+        weight = np.where(in_article, 0.0, weight)
+    ratio = size / np.maximum(1, [tags for _, tags, _, _ in lines]) * weight
     smooth = np.where(weight > 0, smoothed(ratio), 0.0)
     threshold = smooth.std()
     high = (weight > 0) & (smooth >= threshold) & (ratio >= threshold)
     high[np.argmax(ratio)] = True
-    clusters = {region for (_, _, region, _), above in zip(parser.lines, high, strict=True) if above}
-    if articles := {region for region in clusters if region < 0}:
+    clusters = set(region[high].tolist())
+    if articles := {r for r in clusters if r < 0}:
         clusters = articles
-    return "\n".join(text for text, _, region, w in parser.lines if w and region in clusters)
+    return "\n".join(line[0] for line, w in zip(lines, weight, strict=True) if w and line[2] in clusters)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

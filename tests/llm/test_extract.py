@@ -39,3 +39,48 @@ def test_table_of_pages(spark):
     assert found.columns == ["page_id", "url", "text"]
     assert sorted((r["page_id"] or 0, r["text"]) for r in found.collect()) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
     assert extract.extract(pages.limit(0)).collect() == []
+
+
+def paragraphs(n):
+    return "".join(f"<p>{k} {LONG}</p>" for k in range(n)), "\n".join(f"{k} {LONG}" for k in range(n))
+
+
+def test_names_that_hold_a_mark_word():
+    inside, text = paragraphs(3)
+    for name in ("content no-sidebar", "long-form", "ad-free", "with-comments page"):
+        assert extract.main_text(f"<div><a href='x'>one</a></div><div class='{name}'>{inside}</div>") == text
+    for name in ("ad", "cookie-notice", "sidebar-left", "post sidebar", "social_share", "main-navigation"):
+        assert extract.main_text(f"<div class='{name}'><p>{LONG}</p></div><div>{inside}</div>") == text
+    assert extract.main_text(f"<div class='sidebar'>{inside}</div><div><p>Short.</p></div>") == "Short."
+
+
+def test_form_around_a_page_and_forms_in_it():
+    inside, text = paragraphs(3)
+    assert extract.main_text(f"<form><nav>Menu</nav><div>{inside}</div><form><p>Your name</p></form></form>") == text
+    assert extract.main_text(f"<form id='aspnet'><div class='ad'>{LONG}</div><article>{inside}<div class='related-posts'><p>{LONG}</p></div></article></form>") == text
+    assert extract.main_text(f"<article><p>{LONG}</p><form>{inside}</form></article>") == LONG
+
+
+def test_articles_by_weight():
+    inside, text = paragraphs(6)
+    assert extract.main_text(f"<div>{inside}</div><article><h3>Read next</h3><p>A teaser of another page.</p></article>") == text
+    assert extract.main_text(f"<article>{inside}</article><div><p>{LONG}</p></div>") == text
+    assert extract.main_text(f"<article>{inside}</article><article class='comment'><p>I disagree. {LONG}</p></article>") == text
+    assert extract.main_text(f"<div>{inside}</div><article class='comment'><p>I disagree. {LONG}</p></article>") == text
+    assert extract.main_text(f"<article class='post teaser'>{inside}</article>") == text
+    assert extract.main_text(f"<article><p>{LONG}</p></article><article><p>Two. {LONG}</p></article>") == f"{LONG}\nTwo. {LONG}"
+
+
+def test_given_pages_equal_a_plain_reading():
+    """Pages as the given ones are: what a regular expression finds within the article."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    strip = re.compile(r"<(script|style|nav|aside|form|footer|header)\b.*?</\1>|<!--.*?-->", re.S | re.I)
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        body = strip.sub("", re.search(r"<article[^>]*>(.*?)</article>", page, re.S).group(1))
+        blocks = re.split(r"</?(?:p|h[1-6]|div|li|ul|ol|blockquote|section|article)\b[^>]*>", body)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks]
+        assert extract.main_text(page) == "\n".join(b for b in plain if b)
