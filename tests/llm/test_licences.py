@@ -18,3 +18,37 @@ def test_whole_texts_and_lines(spark):
 def test_known_digests_are_distinct(spark):
     found = licences.known_digests(spark).collect()
     assert len({r["digest"] for r in found}) == len(found)
+
+
+def test_every_known_text_whole_on_one_line_and_as_a_line(spark):
+    rows = []
+    for name, texts in licences.KNOWN.items():
+        for text in texts:
+            own = text.replace("(c) holder", "(c) 2019 Some Holder")
+            flat = " ".join(own.split())
+            rows += [(name, "whole", own), (name, "whole", flat), (name, "line", f"Some words.\n{flat}\nand more")]
+    docs = spark.createDataFrame([(k, text, "clash") for k, (*_, text) in enumerate(rows)], "doc_id long, text string, words string")
+    found = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    for k, (name, kind, text) in enumerate(rows):
+        assert (found[k]["license_id"] == name) if kind == "whole" else (found[k]["license_id"] is None and name in found[k]["notices"]), text[:80]
+
+
+def test_notices_go_and_the_rest_of_a_line_stays(spark):
+    essay = "Copyright 2024 is a year in which many words were written about many things, " + "one after the other, " * 20
+    texts = [essay + "first", essay + "second", "Copyright 2024 A", "Copyright 2025 B", "© 2020 Firm. Licensed under CC BY 4.0.", "Copyright 2024 A\nText", "Copyright 2025 B\nText", "Text", None, " \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    digest = [found[k]["digest"] for k in range(len(texts))]
+    assert len(set(digest[:4])) == 4 and digest[5] == digest[6] == digest[7] and digest[8] == digest[9] and digest[8] not in digest[:8]
+    assert found[4]["license_id"] == "CC-BY-4.0" and found[4]["notices"] == ["CC-BY-4.0"]
+
+
+def test_a_table_of_known_texts(spark):
+    known = spark.createDataFrame(
+        [("Z", "Do what you want.\n\nBut be kind."), ("A", "do what you want; but be kind"), ("long", "w " * 30_000), ("none", " \n"), ("null", None), (None, "x")],
+        "license_id string, text string",
+    )
+    docs = spark.createDataFrame([(1, "DO WHAT you want, but be kind!"), (2, "One.\ndo what you want but be kind"), (3, "W " * 30_000), (4, ""), (5, "Licensed under CC BY 4.0."), (6, "x")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licences.scan(docs, known=known).collect()}
+    assert found == {1: ("A", ["A"]), 2: (None, ["A"]), 3: ("long", ["long"]), 4: (None, []), 5: (None, []), 6: (None, [])}
+    assert {r["license_id"] for r in licences.scan(docs, known=known.limit(0)).collect()} == {None}
