@@ -25,8 +25,8 @@ LOW, HIGH, BUCKETS = 3, 5, 1 << 15
 #: Words of a window, and from one window's start to the next: a passage of up to 21 words lies whole in some window.
 WINDOW, STRIDE = 40, 20
 HIDDEN, WORD_WIDTH, GRAM_WIDTH = 8, 6, 10
-#: Labelled rows of either class that a fit sees at most, and windows taken from each.
-ROWS_PER_CLASS, WINDOWS_PER_ROW = 3000, 6
+#: Labelled rows of either class that a fit sees, about; all their windows are taken.
+ROWS_PER_CLASS = 1500
 #: Rows of the sample that must have a word before it gets an embedding of its own.
 LEAST_ROWS = 20
 #: Steps that a fit on few rows takes at least.
@@ -169,20 +169,18 @@ class ToxicityModel:
 
 
 def _cut(texts: list[str]) -> Iterator[tuple[int, str]]:
-    """(row, words) of windows spread over each whole text."""
+    """(row, words) of all windows of each whole text."""
     for k, text in enumerate(texts):
         words = words_of(text or "")
-        last = max(0, -(-(len(words) - WINDOW) // STRIDE))
-        for nth in sorted({round(i * last / (WINDOWS_PER_ROW - 1)) for i in range(WINDOWS_PER_ROW)}):
-            if own := words[nth * STRIDE : nth * STRIDE + WINDOW]:
-                yield k, " ".join(own)
+        for start, size in zip(*windows(np.array([len(words)]))[1:], strict=True):
+            yield k, " ".join(words[start : start + size])
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int) -> DataFrame:
     """(text, label, fold) of about `rows_per_class` labelled rows of either class, chosen by hash of the id.
 
     The chosen ids are broadcast: there are twice `rows_per_class`, whatever the size of the tables. Of several labels of
-    an id the highest holds.
+    an id the highest holds, of several texts the one of the least hash.
     """
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     one = one.agg((F.max(label_col) > 0).cast("int").alias("label"))
@@ -192,7 +190,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         rate = F.when(F.col("label") == label, F.lit(rows_per_class / n)).otherwise(rate)
     chosen = one.where(_share("id") < rate)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("text", "label", fold("id").cast("int").alias("fold"))
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), F.col("text"))).alias("least"))
+    return found.select("least.text", "label", fold("id").cast("int").alias("fold"))
 
 
 def fit(

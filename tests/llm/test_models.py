@@ -91,6 +91,75 @@ def test_languages_of_held_out_rows(documents, docs, no_docs):
     assert language.keep_known(docs, model).columns == docs.columns
 
 
+UNKNOWN_TEXTS = [
+    "".join(np.random.default_rng(1).choice(list("asdfghjklqwertyuiopzxcvbnm    "), 600)),
+    "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "SELECT o_orderkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+    "WHERE o_orderdate < DATE '1995-03-15' GROUP BY o_orderkey ORDER BY revenue DESC LIMIT 10",
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+]
+
+
+@pytest.mark.parametrize("learned", [["de", "en"], ["de", "en", "es", "fr"]])
+def test_unknown_languages_are_rejected_and_mixed_texts_kept(documents, spark, learned):
+    own = documents.where(F.col("lang").isin(learned))
+    model = language.fit(own.where(language.fold("doc_id") != 0))
+    assert model.languages == learned
+    held = language.predict(own.where(language.fold("doc_id") == 0), model)
+    assert held.where("rejected").count() <= 0.01 * held.count()
+    others = documents.where(~F.col("lang").isin(learned))
+    if n := others.count():
+        assert language.predict(others, model).where("rejected").count() > 0.9 * n
+    first = [documents.where((F.col("lang") == x) & (F.length("text") > 500)).orderBy("doc_id").first()["text"] for x in learned[:2]]
+    rows = [(k, t) for k, t in enumerate([*UNKNOWN_TEXTS, " ".join(first)])]
+    found = language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["rejected"] for r in found] == [True] * len(UNKNOWN_TEXTS) + [False]
+
+
+def test_predictions_equal_a_plain_loop(documents):
+    model = language.fit(documents.where(language.fold("doc_id") != 0), rows_per_language=40)
+    known = np.unpackbits(model.familiar)
+    rows = documents.where(F.col("doc_id") % 40 == 0)
+    found = {r["doc_id"]: r for r in language.predict(rows, model).collect()}
+    for r in rows.collect():
+        words, total, count, held, of = language.words_of(r["text"]), 0.0, 0, 0, 0
+        for w in words:
+            for n in range(language.LOW, language.HIGH + 1):
+                for *_, bucket in subwords.grams([w], n, n, language.BUCKETS):
+                    total, count = total + model.scores[bucket].astype(float).sum(axis=0), count + len(bucket)
+            for n in range(language.FAMILIAR_LOW, language.HIGH + 1):
+                for *_, bucket in subwords.grams([w], n, n, language.FAMILIAR_BUCKETS):
+                    held, of = held + int(known[bucket].sum()), of + len(bucket)
+        odds = np.exp((total / count + model.bias) / model.temperature)
+        assert found[r["doc_id"]]["lang_pred"] == model.languages[int(odds.argmax())]
+        assert abs(found[r["doc_id"]]["score"] - odds.max() / odds.sum()) < 1e-3
+        error = (model.least * (1 - model.least) / len(words)) ** 0.5
+        assert found[r["doc_id"]]["rejected"] == (held / of + language.SURE * error < model.least)
+
+
+def test_fits_take_whole_texts_and_rows_once(spark):
+    words = [f"w{k}" for k in range(1000)]
+    assert sum(language._runs(words), []) == words and list(language._runs([])) == []
+    letters = ["a" * (k % 7 + 1) + "bcdefg"[k % 6] for k in range(500)]
+    seen = [w for _, w in toxicity._cut([None, "", " ".join(letters)])]
+    _, start, size = toxicity.windows(np.array([500]))
+    assert seen == [" ".join(letters[s : s + n]) for s, n in zip(start, size, strict=True)]
+    docs = spark.createDataFrame([(7, f"text {k % 3}", "en") for k in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1), (7, 0)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels, "doc_id", "text", "toxic", 10).count() == 1
+    assert language.fit(docs).languages == ["en"]
+
+
+def test_raw_scores_are_the_highest_of_single_windows(documents):
+    model = toxicity.ToxicityModel(toxicity.train([("vile word here".split(), 1, 0), ("plain word here".split(), 0, 1)]))
+    texts = [r["text"] for r in documents.where(F.col("doc_id") % 50 == 0).select("text").collect()]
+    table = model.table()
+    for text, raw in zip(texts, model.raw(table, texts), strict=True):
+        alone = [model.raw(table, [own])[0] for _, own in toxicity._cut([text])] or [toxicity.WORDLESS]
+        assert abs(raw - max(alone)) < 1e-4
+
+
 def test_a_model_without_rows(no_docs, docs):
     model = language.fit(no_docs)
     assert {r["lang_pred"] for r in language.predict(docs, model).collect()} == {"und"}
