@@ -175,8 +175,8 @@ def calibrate(model: LanguageModel, held: list[tuple[list[str], str, int]], rng:
     logits, share, _ = model.logits(table, texts)
     loss = {t: -np.log(np.maximum(1e-12, _softmax(logits / t)[np.arange(len(held)), label])).mean() for t in np.geomspace(0.1, 4, 38)}
     model.temperature = float(min(loss, key=loss.get))
-    shuffled = [["".join(rng.permutation(list(w))) for w in words] for words in texts]
-    _, none, _ = model.logits(model.table(), shuffled)
+    shuffled = {w: "".join(rng.permutation(list(w))) for w in sorted({w for words in texts for w in words})}
+    _, none, _ = model.logits(model.table(), [[shuffled[w] for w in words] for words in texts])
     model.least = float((np.median(share) + np.median(none)) / 2)
 
 
