@@ -43,6 +43,11 @@ def _key(left: Column, right: Column, ends: Column, begins: Column) -> Column:
     return F.when(ends == _WORD, F.xxhash64(left)).otherwise(place)
 
 
+def _gate(left: Column, ends: Column) -> Column:
+    """Hash of a word, or of its last `ends` letters: what a word shows of a key before its neighbours are looked at."""
+    return F.when(ends == _WORD, F.xxhash64(left)).otherwise(F.xxhash64(ends, F.right(left, ends)))
+
+
 def _index(terms: DataFrame) -> DataFrame:
     """Terms with their key: (ends, begins) letters on both sides of the first blank, `left` and `right` of it."""
     blank = F.instr("word", " ")
@@ -65,7 +70,9 @@ def _bit(key: Column) -> tuple[Column, Column]:
 def _bitmap(index: DataFrame) -> Column:
     """The keys as one array of BITMAP_WORDS numbers, a scalar."""
     word, place = _bit(F.col("key"))
-    set_words = index.select(word.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bits"))
+    # the place of a phrase is looked up twice: by the word before its blank, then by its whole key
+    keys = index.select("key").unionByName(index.where(F.col("ends") != _WORD).select(_gate(F.col("left"), F.col("ends")).alias("key")))
+    set_words = keys.select(word.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bits"))
     set_words = set_words.groupBy("at").agg(F.bit_or("bits").alias("bits"))
     every = index.sparkSession.range(BITMAP_WORDS).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("bits"))
     whole = set_words.unionByName(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
@@ -82,22 +89,29 @@ def find_terms(texts: DataFrame, key: str, clean: Column, terms: DataFrame) -> D
     index = _index(terms)
     shapes = index.groupBy("ends", "begins").agg(F.max(F.size(F.split("right", " "))).alias("words")).collect()  # few
     if not shapes:
-        shapes, reach = [(_WORD, _WORD, None)], 0
+        shapes, reach = [{"ends": _WORD, "begins": _WORD}], 0
     else:
         reach = max((max(s["words"], EDGE) for s in shapes if s["ends"] != _WORD), default=0)
     words = txt.tokens(clean)
 
-    def place(word: Column, at: Column) -> Column:
-        after = F.when(at + 1 < F.size("_words"), F.concat_ws(" ", F.slice("_words", at + 2, reach))) if reach else F.lit(None).cast("string")
-        return F.struct(at.alias("at"), word.alias("word"), after.alias("after"))
-
-    shape = F.array(*(F.struct(F.lit(s[0]).alias("ends"), F.lit(s[1]).alias("begins")) for s in shapes))
-    places = texts.select(F.col(key), words.alias("_words")).select(key, F.inline(F.transform("_words", place)))
-    keyed = places.select("*", F.inline(shape)).where((F.length("word") >= F.col("ends")) & (F.length("after") >= F.col("begins")) | (F.col("ends") == _WORD))
+    bits = _bitmap(index)
+
+    def held(hashed: Column) -> Column:
+        at_word, bit = _bit(hashed)
+        return F.call_function("shiftright", F.call_function("get", bits, at_word), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    # Plain rows rule words out in compiled code before anything is made of them; what follows a word, and its shapes, are
+    # made for the few that are left. The outer form keeps Spark from cleaning texts twice, to filter on their words first.
+    may = F.lit(False)
+    for ends in sorted({s["ends"] for s in shapes}):
+        may = may | held(_gate(F.col("word"), F.lit(ends)))
+    each = texts.select(F.col(key), words.alias("_words")).select(key, "_words", F.posexplode_outer("_words").alias("at", "word")).where(F.col("word").isNotNull() & may)
+    after = F.when(F.col("at") + 1 < F.size("_words"), F.concat_ws(" ", F.slice("_words", F.col("at") + 2, reach))) if reach else F.lit(None).cast("string")
+    shape = F.array(*(F.struct(F.lit(s["ends"]).alias("ends"), F.lit(s["begins"]).alias("begins")) for s in shapes))
+    keyed = each.select(key, "at", "word", after.alias("after")).select("*", F.inline(shape))
+    keyed = keyed.where((F.length("word") >= F.col("ends")) & (F.length("after") >= F.col("begins")) | (F.col("ends") == _WORD))
     keyed = keyed.withColumn("_key", _key(F.col("word"), F.col("after"), F.col("ends"), F.col("begins")))
-    at_word, bit = _bit(F.col("_key"))
-    held = F.call_function("shiftright", F.call_function("get", _bitmap(index), at_word), bit).bitwiseAND(F.lit(1).cast("long"))
-    keyed = keyed.where(held == 1).withColumnRenamed("ends", "_ends").drop("begins")
+    keyed = keyed.where(held(F.col("_key"))).withColumnRenamed("ends", "_ends").drop("begins")
     same = F.when(F.col("ends") == _WORD, F.col("_word") == F.col("left")).otherwise(
         F.endswith("_word", "left") & F.startswith("after", "right")
     )
