@@ -64,30 +64,33 @@ class DemoTables:
 
     # --- raw tables ---------------------------------------------------------------------------
 
-    @cached_property
-    def raw_reviews(self) -> DataFrame:
+    def _raw_reviews(self, events: DataFrame, *more: str) -> DataFrame:
+        """Reviews out of events; `more` names further columns of the events to keep."""
         event, user = F.col("event_id"), F.col("user_id")
         phrase = F.lit("")
         for residue, words in SEED_PHRASES.items():
             phrase = F.when((event * 3 + user) % 8 == residue, words).otherwise(phrase)
-        events = self.base("events").select("event_id", "user_id", "ts")
-        return self._with_document(events, "event_id").select(
+        return self._with_document(events.select("event_id", "user_id", "ts", *more), "event_id").select(
             event.alias("review_id"), "user_id", (event % self._rows("part")).alias("business_id"),
             (1 + (event * 7 + user) % 5).cast("int").alias("stars"),
             (event % 11).cast("int").alias("useful"), (event % 5).cast("int").alias("funny"),
             (event % 7).cast("int").alias("cool"),
-            F.concat(phrase, F.col("_text")).alias("text"), F.col("ts").alias("date"), F.col("_lang").alias("language"),
+            F.concat(phrase, F.col("_text")).alias("text"), F.col("ts").alias("date"), F.col("_lang").alias("language"), *more,
         )
 
+    @cached_property
+    def raw_reviews(self) -> DataFrame:
+        return self._raw_reviews(self.base("events"))
+
     @cached_property
     def raw_undated_reviews(self) -> DataFrame:
-        categories = self.base("part").select(
-            F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category")
+        """The categories join the narrow events, before any text: a sorted join would shuffle and sort the texts."""
+        categories = self.base("part").select(F.col("p_partkey").alias("_part"), F.col("p_type").alias("product_category"))
+        events = self.base("events").withColumn("_product", F.col("event_id") % self._rows("part"))
+        return self._raw_reviews(events.join(categories, F.col("_product") == F.col("_part"), "left"), "product_category").select(
+            F.col("business_id").alias("product_id"), "review_id", F.col("user_id").alias("reviewer_id"), "stars",
+            F.col("text").alias("review_body"), "language", "product_category",
         )
-        return self.raw_reviews.select(
-            "review_id", F.col("business_id").alias("product_id"), F.col("user_id").alias("reviewer_id"), "stars",
-            F.col("text").alias("review_body"), "language",
-        ).join(categories, "product_id", "left")
 
     @cached_property
     def raw_orders(self) -> DataFrame:
