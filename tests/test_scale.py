@@ -6,7 +6,7 @@ import pytest
 
 from conftest import SF_DIR
 from reviewlake.functions.vocabulary import DEFAULT_LEXICON, DEFAULT_TAXONOMY
-from reviewlake.operators import classify, matching, terms
+from reviewlake.operators import classify, evaluation, matching, terms
 from reviewlake.plans.demo_tables import DemoTables
 
 
@@ -86,3 +86,12 @@ def test_models_keep_no_terms(spark, monkeypatch):
     assert classify.cross_validate(rows, "review_id", folds=2, max_iter=2).count() == 2
     assert classify.aspect_model_metrics(classify.aspect_training_rows(df, "review_id"), "review_id", max_iter=2).count() == 14
     assert kept and not any("_terms" in columns for columns in kept)
+
+
+def test_metrics_read_the_predictions_once(spark):
+    rows = [("a", "x", "x"), ("a", "x", "y"), ("a", "y", "y"), ("a", None, "x"), ("a", None, None), ("a", "z", None), ("b", "x", "w"), (None, "x", "x")]
+    df = spark.createDataFrame(rows, "g string, label string, prediction string")
+    found = evaluation.classification_metrics(evaluation.confusion(df, by=["g"]), by=["g"])
+    assert "Join" not in plan_of(found, "optimizedPlan")
+    got = {r["g"]: (r["accuracy"], r["precision"], r["recall"]) for r in found.collect()}
+    assert got == {"a": (0.5, 0.25, 0.5), "b": (0.0, 0.0, 0.0), None: (1.0, 0.0, 1.0)}
