@@ -31,8 +31,8 @@ def with_lexicon_sentiment(
     pos, neg = S.polar_counts(F.col("_polar"), lexicon)
     return (
         df.withColumn("_polar", S.polar_words(F.col(text), lexicon))
-        .withColumn("_hits", F.struct(pos.alias("pos"), neg.alias("neg")))
-        .withColumn(name, S.lexicon_score(F.col("_hits.pos"), F.col("_hits.neg")))
+        .withColumn("_hits", txt.once(F.struct(pos.alias("pos"), neg.alias("neg"))))
+        .withColumn(name, txt.once(S.lexicon_score(F.col("_hits.pos"), F.col("_hits.neg"))))
         .drop("_polar", "_hits")
     )
 
@@ -119,10 +119,11 @@ def sentiment_distribution(
         wanted = wanted & (F.col(rating_column(df)) == stars)
     rows = df.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
     if label is None:
-        rows = rows.withColumn("_words", F.when(F.col("_wanted"), txt.clean_ml(F.col("text"))))
-        words = F.filter(txt.tokens(F.col("_words")), lambda w: w.isin(lexicon.words))
+        rows = rows.withColumn("_words", F.when(F.col("_wanted"), txt.ml_words(F.col("text"))))
+        words = F.filter(F.col("_words"), lambda w: w.isin(lexicon.words))
+        length = F.char_length(F.array_join("_words", " "))
         # plain columns and not fields of a struct, which the optimizer would write out again at every use
-        rows = rows.withColumn("_polar", F.when(F.char_length("_words") >= MIN_CLEAN_LENGTH, words))
+        rows = rows.withColumn("_polar", F.when(length >= MIN_CLEAN_LENGTH, words))
         pos, neg = S.polar_counts(F.col("_polar"), lexicon)
         rows = rows.withColumn("_hits", F.when(F.col("_polar").isNotNull(), F.struct(pos.alias("pos"), neg.alias("neg"))))
         scored = S.lexicon_score(F.col("_hits.pos"), F.col("_hits.neg"))["label"]
