@@ -96,9 +96,10 @@ def clean_basic(c: Column) -> Column:
 def clean_nlp(c: Column) -> Column:
     """Basic cleaning, then letters, digits and apostrophes only, with English contractions expanded."""
     out = F.regexp_replace(clean_basic(c), rf"(?U)[^a-zA-Z0-9'{WS}]", "")
+    expanded = out
     for short, full in CONTRACTIONS:
-        out = F.replace(out, F.lit(short), F.lit(full))
-    return strip(out)
+        expanded = F.replace(expanded, F.lit(short), F.lit(full))
+    return strip(F.when(c.contains("'"), expanded).otherwise(out))
 
 
 def _clean_letters(c: Column, letters: str) -> Column:

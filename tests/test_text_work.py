@@ -44,3 +44,9 @@ def test_words_are_those_of_the_cleaned_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     rows = df.select("i", T.ml_words(F.col("t")).alias("w"), T.clean_ml(F.col("t")).alias("c")).orderBy("i").collect()
     assert [r["w"] for r in rows] == want and [r["c"] for r in rows] == [" ".join(w) for w in want]
+
+
+def test_contractions_only_where_there_is_an_apostrophe(spark):
+    df = spark.createDataFrame([(1, "I don't"), (2, "no such thing"), (3, None), (4, "'s' it's")], "i int, t string")
+    cleaned = df.select("i", T.clean_nlp(F.col("t")).alias("c"))
+    assert "Contains(t" in plan_of(cleaned) and [r["c"] for r in cleaned.orderBy("i").collect()] == ["i do not", "no such thing", "", "is' it is"]
