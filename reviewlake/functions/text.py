@@ -1,4 +1,4 @@
-"""Text cleaning, counting and tokenizing as native column expressions.
+"""Text cleaning, counting and tokenizing as native column expressions; counts of whole tables come from ``scans``.
 
 Whitespace means what a Python string takes for whitespace: Unicode white space and the four separators U+001C-U+001F.
 """
@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from reviewlake.functions import scans
 from reviewlake.functions.vocabulary import CONTRACTIONS
 
 # The characters a Python string treats as whitespace.
@@ -153,6 +154,12 @@ def preview(c: Column, size: int) -> Column:
     return F.when(F.char_length(c) > size, F.concat(F.substring(c, 1, size), F.lit("..."))).otherwise(c)
 
 
+def cleaned_stats(c: Column) -> dict[str, Column]:
+    """Length and words of the text that ``clean_text`` makes, counted without making it."""
+    counts = scans.cleaned_counts(c)
+    return {name: counts[name] for name in ("text_length", "word_count")}
+
+
 def text_features(c: Column) -> dict[str, Column]:
     """Seven surface features; all are 0 for null or empty text."""
     text = F.coalesce(c, F.lit(""))

@@ -486,11 +486,7 @@ def clean_ml(t):
 
 @query
 def text_stats_ws(t):
-    cleaned = _cleaned(t, txt.clean_text)
-    return cleaned.select(
-        "review_id", txt.text_length(F.col("cleaned")).alias("text_length"),
-        txt.word_count(F.col("cleaned")).alias("word_count"),
-    )
+    return t.raw_reviews.select("review_id", *[c.alias(n) for n, c in txt.cleaned_stats(F.col("text")).items()])
 
 
 @query
