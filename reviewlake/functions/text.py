@@ -162,17 +162,13 @@ def cleaned_stats(c: Column) -> dict[str, Column]:
 
 def text_features(c: Column) -> dict[str, Column]:
     """Seven surface features; all are 0 for null or empty text."""
-    text = F.coalesce(c, F.lit(""))
-    chars = F.char_length(text)
-    words = word_count(text)
-    solid = F.char_length(F.regexp_replace(text, rf"(?U)[{WS}]+", ""))
-    upper = F.regexp_count(text, F.lit(r"\p{IsUppercase}"))
+    n = scans.surface_counts(c)
     return {
-        "char_count": chars,
-        "word_count": words,
-        "sentence_count": F.regexp_count(text, F.lit(rf"(?U)[^.!?{WS}][^.!?]*+")),
-        "avg_word_length": F.round(solid / F.greatest(words, F.lit(1)) * 100) / 100,
-        "exclamation_count": chars - F.char_length(F.replace(text, F.lit("!"), F.lit(""))),
-        "question_count": chars - F.char_length(F.replace(text, F.lit("?"), F.lit(""))),
-        "uppercase_ratio": F.round(upper / F.greatest(chars, F.lit(1)) * 10000) / 10000,
+        "char_count": n["chars"],
+        "word_count": n["words"],
+        "sentence_count": n["sentences"],
+        "avg_word_length": F.round(n["solid"] / F.greatest(n["words"], F.lit(1)) * 100) / 100,
+        "exclamation_count": n["exclamations"],
+        "question_count": n["questions"],
+        "uppercase_ratio": F.round(n["upper"] / F.greatest(n["chars"], F.lit(1)) * 10000) / 10000,
     }

@@ -41,3 +41,16 @@ def test_cleaned_counts_are_those_of_the_cleaned_text(texts):
     for r in rows:
         assert (r["a"], r["b"]) == (r["c"], r["d"]), r["t"]
     assert "regexp_replace" not in plan_of(texts.select(n["text_length"], n["word_count"]))
+
+
+def test_features_are_those_of_python(texts):
+    counted = texts.select("t", *[c.alias(k) for k, c in T.text_features(F.col("t")).items()])
+    assert "regexp" not in plan_of(counted) and plan_of(counted).count("count_surface(") == 1
+    for r in counted.collect():
+        t = r["t"] or ""
+        words = t.split()
+        want = (
+            len(t), len(words), len([s for s in re.split(r"[.!?]+", t) if s.strip()]), t.count("!"), t.count("?"),
+            pytest.approx(sum(map(len, words)) / max(len(words), 1), abs=0.00501), pytest.approx(sum(c.isupper() for c in t) / max(len(t), 1), abs=0.0000501),
+        )
+        assert (r["char_count"], r["word_count"], r["sentence_count"], r["exclamation_count"], r["question_count"], r["avg_word_length"], r["uppercase_ratio"]) == want, t
