@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-from reviewlake.functions import text as T
+from reviewlake.functions import scans, text as T
 from reviewlake.functions.numeric import rnd
 from reviewlake.functions.vocabulary import DEFAULT_LEXICON, HEURISTIC_WORDS, Lexicon
 
@@ -60,8 +60,12 @@ def baseline(stars: Column) -> Column:
 
 
 def polar_words(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """The words of a text that carry polarity, in order. One hash probe per word."""
-    return F.filter(T.ml_words(text), lambda w: w.isin(lexicon.words))
+    """The words of a text that carry polarity, in order. Only what the scan leaves out is split into words."""
+    def listed(scan: Column) -> Column:
+        split = F.filter(T.ml_words(text), lambda w: w.isin(lexicon.words))
+        return F.when(scan.isNull(), split).otherwise(F.transform(scan["marks"], lambda m: m["word"]))
+
+    return T.let(scans.find(text, lexicon.words), listed)
 
 
 def polar_counts(polar: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> tuple[Column, Column]:

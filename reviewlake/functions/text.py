@@ -42,8 +42,14 @@ def once(value: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode whitespace from both ends."""
-    return F.btrim(c, F.lit(WS_CHARS))
+    """Trim Unicode whitespace from both ends. Only a text with some there is trimmed, which looks at every character."""
+    blanks = F.array(*[F.lit(w) for w in WS_CHARS])
+
+    def trimmed(t: Column) -> Column:
+        loose = F.exists(blanks, lambda w: t.startswith(w) | t.endswith(w))
+        return F.when(loose, F.btrim(t, F.lit(WS_CHARS))).otherwise(t)
+
+    return let(c, trimmed)
 
 
 def collapse(c: Column) -> Column:

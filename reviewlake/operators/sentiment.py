@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.errors import DatasetError
-from reviewlake.functions import sentiment as S, text as txt
+from reviewlake.functions import scans, sentiment as S, text as txt
 from reviewlake.functions.numeric import count_if, mean, pct, rnd
 from reviewlake.functions.vocabulary import DEFAULT_LEXICON, Lexicon
 from reviewlake.schemas import rating_column, require
@@ -119,11 +119,13 @@ def sentiment_distribution(
         wanted = wanted & (F.col(rating_column(df)) == stars)
     rows = df.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
     if label is None:
-        rows = rows.withColumn("_words", F.when(F.col("_wanted"), txt.ml_words(F.col("text"))))
-        words = F.filter(F.col("_words"), lambda w: w.isin(lexicon.words))
-        length = F.char_length(F.array_join("_words", " "))
+        text = F.when(F.col("_wanted"), F.col("text"))
+        left_out = F.col("_scan").isNull()
+        rows = rows.withColumn("_scan", scans.find(text, lexicon.words)).withColumn("_words", F.when(left_out, txt.ml_words(text)))
+        length = F.when(left_out, F.char_length(F.array_join("_words", " "))).otherwise(F.col("_scan.length"))
+        listed = F.when(left_out, F.filter(F.col("_words"), lambda w: w.isin(lexicon.words))).otherwise(F.col("_scan.marks.word"))
         # plain columns and not fields of a struct, which the optimizer would write out again at every use
-        rows = rows.withColumn("_polar", F.when(length >= MIN_CLEAN_LENGTH, words))
+        rows = rows.withColumn("_polar", F.when(length >= MIN_CLEAN_LENGTH, listed))
         pos, neg = S.polar_counts(F.col("_polar"), lexicon)
         rows = rows.withColumn("_hits", F.when(F.col("_polar").isNotNull(), F.struct(pos.alias("pos"), neg.alias("neg"))))
         scored = S.lexicon_score(F.col("_hits.pos"), F.col("_hits.neg"))["label"]
