@@ -192,8 +192,10 @@ def gold_features(
     else:
         spoken = F.lit(language) if language else F.col("language")
         if use_text:
-            scored = with_lexicon_sentiment(df, name="_text", lexicon=lexicon).withColumn(
-                "_s", F.when((spoken == "en") & (length > 10), F.col("_text")).otherwise(stars)
+            # only texts that the lexicon is to judge are looked at
+            judged = df.withColumn("_judged", F.when((spoken == "en") & (length > 10), F.col("text")))
+            scored = with_lexicon_sentiment(judged, text="_judged", name="_text", lexicon=lexicon).withColumn(
+                "_s", F.when(F.col("_judged").isNotNull(), F.col("_text")).otherwise(stars)
             )
             version = "lexicon_polarity_v1"
         else:

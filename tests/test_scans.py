@@ -66,3 +66,11 @@ def test_every_character_parts_words_alike(spark):
     rows = scanned.select(split.alias("a"), F.col("s.marks.word").alias("b"), F.char_length(T.clean_ml(F.col("t"))).alias("c"), "s.length")
     for r in rows.collect():
         assert r["a"] == r["b"] and r["c"] == r["length"]
+
+
+def test_only_judged_texts_are_scanned(spark):
+    df = spark.createDataFrame(
+        [(5, "good good good", "en"), (1, "good good good", "de"), (3, " good     ", "en"), (4, None, "en"), (2, "bad bad bad", None)], "stars int, text string, language string")
+    rows = sentiment.gold_features(df).collect()
+    assert [r["sentiment_score"] for r in rows] == [1.0, -1.0, 0.0, 0.5, -0.5]
+    assert "CASE WHEN ((language" in plan_of(sentiment.gold_features(df).select("sentiment_score")).split("find_words(")[1]
