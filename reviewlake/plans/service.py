@@ -111,7 +111,7 @@ class ReviewLake:
         if extract_aspects:
             scored = aspects.with_aspects(scored).withColumn(
                 "aspect_keywords", aspects.mentioned(aspects.DEFAULT_TAXONOMY)
-            ).drop("clean_text", "text_sentiment", "aspect_labels")
+            ).drop("clean_text", "clean_length", "text_sentiment", "aspect_labels")
         return sinks.write_table(scored, self.path("gold", schemas.GOLD[found.table]), overwrite)
 
     def build_sales_features(self, overwrite: bool = False) -> str:
