@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlake.errors import DatasetError
-from reviewlake.functions import scans, sentiment as S, text as txt
+from reviewlake.functions import sentiment as S, text as txt
 from reviewlake.functions.numeric import count_if, mean, pct, rnd
 from reviewlake.functions.vocabulary import DEFAULT_LEXICON, Lexicon
 from reviewlake.schemas import rating_column, require
@@ -25,12 +25,12 @@ FIELDS = ("score", "label", "confidence", "is_ambiguous", "model")
 
 
 def with_lexicon_sentiment(
-    df: DataFrame, text: str = "text", name: str = "sentiment", lexicon: Lexicon = DEFAULT_LEXICON
+    df: DataFrame, text: str = "text", name: str = "sentiment", lexicon: Lexicon = DEFAULT_LEXICON, batched: bool = False
 ) -> DataFrame:
-    """Add the lexicon score of a text column as a struct."""
+    """Add the lexicon score of a text column as a struct. ``batched`` finds its words in Arrow batches."""
     pos, neg = S.polar_counts(F.col("_polar"), lexicon)
     return (
-        df.withColumn("_polar", S.polar_words(F.col(text), lexicon))
+        df.withColumn("_polar", S.polar_words(F.col(text), lexicon, batched))
         .withColumn("_hits", txt.once(F.struct(pos.alias("pos"), neg.alias("neg"))))
         .withColumn(name, txt.once(S.lexicon_score(F.col("_hits.pos"), F.col("_hits.neg"))))
         .drop("_polar", "_hits")
@@ -119,13 +119,11 @@ def sentiment_distribution(
         wanted = wanted & (F.col(rating_column(df)) == stars)
     rows = df.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
     if label is None:
-        text = F.when(F.col("_wanted"), F.col("text"))
-        left_out = F.col("_scan").isNull()
-        rows = rows.withColumn("_scan", scans.find(text, lexicon.words)).withColumn("_words", F.when(left_out, txt.ml_words(text)))
-        length = F.when(left_out, F.char_length(F.array_join("_words", " "))).otherwise(F.col("_scan.length"))
-        listed = F.when(left_out, F.filter(F.col("_words"), lambda w: w.isin(lexicon.words))).otherwise(F.col("_scan.marks.word"))
+        rows = rows.withColumn("_words", F.when(F.col("_wanted"), txt.ml_words(F.col("text"))))
+        words = F.filter(F.col("_words"), lambda w: w.isin(lexicon.words))
+        length = F.char_length(F.array_join("_words", " "))
         # plain columns and not fields of a struct, which the optimizer would write out again at every use
-        rows = rows.withColumn("_polar", F.when(length >= MIN_CLEAN_LENGTH, listed))
+        rows = rows.withColumn("_polar", F.when(length >= MIN_CLEAN_LENGTH, words))
         pos, neg = S.polar_counts(F.col("_polar"), lexicon)
         rows = rows.withColumn("_hits", F.when(F.col("_polar").isNotNull(), F.struct(pos.alias("pos"), neg.alias("neg"))))
         scored = S.lexicon_score(F.col("_hits.pos"), F.col("_hits.neg"))["label"]
@@ -166,11 +164,12 @@ def gold_features(
     model=None,
     lexicon: Lexicon = DEFAULT_LEXICON,
     language: str | None = None,
+    batched: bool = False,
 ) -> DataFrame:
     """Silver reviews plus sentiment score, label, confidence and model version.
 
     The ladder per row: the fitted model when given and the text is usable; else the lexicon for English texts longer
-    than 10 characters; else the stars. ``language`` overrides the language column.
+    than 10 characters; else the stars. ``language`` overrides the language column; ``batched`` finds the lexicon's words in Arrow batches.
     """
     from reviewlake.operators.classify import predict_sentiment
 
@@ -192,9 +191,9 @@ def gold_features(
     else:
         spoken = F.lit(language) if language else F.col("language")
         if use_text:
-            # only texts that the lexicon is to judge are looked at
+            # only texts that the lexicon is to judge are split
             judged = df.withColumn("_judged", F.when((spoken == "en") & (length > 10), F.col("text")))
-            scored = with_lexicon_sentiment(judged, text="_judged", name="_text", lexicon=lexicon).withColumn(
+            scored = with_lexicon_sentiment(judged, "_judged", "_text", lexicon, batched).withColumn(
                 "_s", F.when(F.col("_judged").isNotNull(), F.col("_text")).otherwise(stars)
             )
             version = "lexicon_polarity_v1"

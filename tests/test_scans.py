@@ -45,7 +45,7 @@ def test_cleaned_counts_are_those_of_the_cleaned_text(texts):
 
 def test_features_are_those_of_python(texts):
     counted = texts.select("t", *[c.alias(k) for k, c in T.text_features(F.col("t")).items()])
-    assert "regexp" not in plan_of(counted) and plan_of(counted).count("count_surface(") == 1
+    assert "split(" not in plan_of(counted)  # words are counted without parting them
     for r in counted.collect():
         t = r["t"] or ""
         words = t.split()
@@ -94,14 +94,14 @@ def test_slices_and_empty_batches(spark):
     assert [([tuple(m) for m in r["s"]["marks"]], r["s"]["length"]) for r in found] == want * 12
     assert not any(r["s"]["phrases"] for r in found)
     none = df.where("i < 0")
-    assert none.select(scans.find(F.col("t"), ["good"])).collect() == [] and none.select(*T.text_features(F.col("t")).values()).collect() == []
+    assert none.select(scans.find(F.col("t"), ["good"])).collect() == [] and none.select(*T.cleaned_stats(F.col("t")).values()).collect() == []
 
 
 def test_lists_without_phrases_and_odd_entries(spark):
     """Entries that no cleaned word can equal are never found; blanks around a phrase count."""
     taxonomy = Taxonomy({"one": frozenset({"a-b", "x y", "  z", "w ", "é"}), "two": frozenset({"q"})})
     df = spark.createDataFrame([("a-b x y", ), ("x z",), ("w",), ("w é",), ("q w",), (None,)], "text string")
-    got = [tuple(r["aspect_labels"]) for r in aspects.with_aspects(df, taxonomy=taxonomy, lexicon=Lexicon(frozenset(), frozenset())).collect()]
+    got = [tuple(r["aspect_labels"]) for r in aspects.with_aspects(df, taxonomy=taxonomy, lexicon=Lexicon(frozenset(), frozenset()), batched=True).collect()]
     assert got == [("neutral", None), (None, None), (None, None), ("neutral", None), (None, "neutral"), (None, None)]
 
 
@@ -109,7 +109,7 @@ def test_left_out_texts_are_scored_alike(spark):
     """An address leaves a text to the patterns; its scores are those of the same text without one."""
     plain = ["well made, good price", "bad box. Bad", "no word", "good bad"]
     df = spark.createDataFrame([(i, t + tail) for i, t in enumerate(plain) for tail in ("", " me@host.org", " www.x.y")], "i int, text string")
-    rows = aspects.with_aspects(sentiment.with_lexicon_sentiment(df)).drop("text").collect()
+    rows = aspects.with_aspects(sentiment.with_lexicon_sentiment(df, batched=True), batched=True).drop("text").collect()
     assert len({str(sorted(r.asDict(True).items(), key=str)) for r in rows}) == len(plain)
     assert {r["clean_length"] == len(r["clean_text"]) for r in rows} == {True}
 
@@ -117,6 +117,15 @@ def test_left_out_texts_are_scored_alike(spark):
 def test_only_judged_texts_are_scanned(spark):
     df = spark.createDataFrame(
         [(5, "good good good", "en"), (1, "good good good", "de"), (3, " good     ", "en"), (4, None, "en"), (2, "bad bad bad", None)], "stars int, text string, language string")
-    rows = sentiment.gold_features(df).collect()
+    rows = sentiment.gold_features(df, batched=True).collect()
+    assert rows == sentiment.gold_features(df).collect()
     assert [r["sentiment_score"] for r in rows] == [1.0, -1.0, 0.0, 0.5, -0.5]
-    assert "CASE WHEN ((language" in plan_of(sentiment.gold_features(df).select("sentiment_score")).split("find_words(")[1]
+    assert "CASE WHEN ((language" in plan_of(sentiment.gold_features(df, batched=True).select("sentiment_score")).split("find_words(")[1]
+
+
+def test_batched_reports_are_the_native_ones(spark):
+    rows = [(i, 1 + i % 5, t, "en" if i % 3 else "de") for i, t in enumerate(TEXTS + random_texts(60))]
+    df = spark.createDataFrame(rows, "review_id int, stars int, text string, language string")
+    for report in (aspects.aspect_sentiment_crosstab, aspects.analyze_reviews, lambda d, **o: aspects.aspect_distribution(d, sentiment="negative", **o)):
+        assert sorted(map(str, report(df, batched=True).collect())) == sorted(map(str, report(df).collect()))
+    assert sorted(map(str, sentiment.gold_features(df, batched=True).collect())) == sorted(map(str, sentiment.gold_features(df).collect()))
