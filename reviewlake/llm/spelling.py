@@ -79,7 +79,8 @@ def near_words(words: DataFrame) -> DataFrame:
 
     words: (word, n), words distinct, not null, of at least two code points. It is read twice: give a saved table. A
     signature's words are spread by Spark's sort-merge join, whose skewed partitions adaptive execution splits; pairs
-    that the edit distance doesn't confirm never leave the join.
+    that the edit distance doesn't confirm never leave the join. The join is asked for: Spark sizes a side by the compressed
+    file, without the 18 rows that a word explodes into, and would send millions of them through the driver.
     """
     made = words.select("word", "n", F.length("word").alias("len"), F.array(*_digests(F.col("word"), 4)).alias("d4"),
                         F.array(*_digests(F.col("word"), 3)).alias("d3"))
@@ -90,7 +91,7 @@ def near_words(words: DataFrame) -> DataFrame:
     left = made.select(F.explode(F.array(*replaced, *longer)).alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = made.select(F.explode(F.array(*replaced, *shorter)).alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     once = (F.length("a") > F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
-    met = left.join(right.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & once & (F.levenshtein("a", "b", 1) == 1))
+    met = left.hint("merge").join(right.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & once & (F.levenshtein("a", "b", 1) == 1))
     pairs = met.select("a", "a_n", "b", "b_n").distinct()
     ways = F.array(*(F.struct(F.col(x).alias("word"), F.col(f"{x}_n").alias("n"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n"))
                      for x, y in ("ab", "ba")))
@@ -101,7 +102,8 @@ def roots(forms: DataFrame, most: int, ratio: int = RATIO, least: int = MIN_COUN
     """(word, root) of every row of (word, form): the last word reached by following forms.
 
     A form occurs at least `ratio` times as often, so a chain from `least` to `most` occurrences has a bounded length, and
-    doubling the steps reaches its end in a few joins. Without a ratio above 1 chains could be rings.
+    doubling the steps reaches its end in a few joins, sorted ones as saved tables are larger than their files. Without a
+    ratio above 1 chains could be rings.
     """
     if ratio < 2:
         raise ValueError("ratio must be 2 or more")
@@ -110,7 +112,7 @@ def roots(forms: DataFrame, most: int, ratio: int = RATIO, least: int = MIN_COUN
     reach = 1
     while reach < steps:
         onward = found.select(F.col("word").alias("at"), F.col("root").alias("next"))
-        found = save(found.join(onward, F.col("root") == F.col("at"), "left").select("word", F.coalesce("next", "root").alias("root")))
+        found = save(found.hint("merge").join(onward, F.col("root") == F.col("at"), "left").select("word", F.coalesce("next", "root").alias("root")))
         reach *= 2
     return found
 
@@ -132,6 +134,6 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     ))
     ends = words.agg(F.max("n"), F.min("n")).first()
     chained = roots(found.where("form is not null").select("word", "form"), ends[0] or 1, ratio, ends[1] or 1)
-    return found.join(chained, "word", "left").select(
+    return found.hint("merge").join(chained, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

@@ -115,3 +115,10 @@ def test_chains_without_a_ratio_are_refused(spark):
 
 def test_no_rows(no_docs):
     assert spelling.variants(spelling.vocabulary(no_docs)).collect() == []
+
+
+def test_exploded_signatures_are_not_broadcast(spark):
+    words = spark.createDataFrame([("letters", 50), ("letter", 10)], "word string, n long")
+    for made in (spelling.near_words(words), spelling.variants(words)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
