@@ -608,7 +608,7 @@ def aspects_negative(t):
 
 @query
 def aspect_by_source(t):
-    return aspects.aspect_by_source(t.corpus, ["reviews", "undated", "orders"])
+    return aspects.aspect_by_source(t.corpus, ["reviews", "undated", "orders"], batched=True)
 
 
 @query
